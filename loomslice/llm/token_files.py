@@ -37,15 +37,18 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, *, tokenizer: str = "public:byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 32) -> str:
+def write_tokens(docs: DataFrame, folder: str | None = None, *, tokenizer: str = "public:byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> str:
     """Encode docs into ``folder`` (by default a new one in the shared folder); returns the folder.
 
     One shuffle puts the texts in order of ids. Each task streams its range into files under a name of
     its own attempt, and the index names those of the attempts that succeeded, so a task that is run
-    again leaves no trace in the result. width: bits of an id on disk, 16 or 32.
+    again leaves no trace in the result. width: bits of an id on disk, 16 or 32; by default the fewest
+    that hold the vocabulary and the end id.
     """
     spark = docs.sparkSession
     folder = plain_uri(folder or new_path(spark, "tokens"))
+    if width is None:
+        width = 16 if max(encoder(resolve(tokenizer)).tk.get_vocab_size(), end_id + 1) <= 1 << 16 else 32
     kind = {16: "<u2", 32: "<u4"}[width]
     fs, root = _store(folder)
     fs.create_dir(root, recursive=True)
