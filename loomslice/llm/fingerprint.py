@@ -129,16 +129,17 @@ def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     follow = next_keys(sizes, "key", chunks)
     follow = materialize(follow.join(sizes, "key").select(F.col("key").alias("for"), F.col("next"), "need"), "next")
     hashed = rows.withColumn("fp", fingerprint(F.col("text")))
-    # texts are shuffled by key once, and what followers lend is a quarter of them
+    # Texts are shuffled by key once: both joins read the same exchange, as they need the same columns. What
+    # followers lend is a quarter of the texts.
     lent = hashed.select("key", "doc_id", "text", "fp").join(follow, F.col("key") == F.col("next"))
-    lent = lent.groupBy("for").agg(F.min(F.struct(F.expr("substring(text, 1, need)").alias("head"), "fp")).alias("lent"))
+    lent = lent.groupBy("for").agg(F.min(F.struct(F.expr("substring(text, 1, need)").alias("head"), "fp", "doc_id")).alias("lent"))
     both = hashed.select("key", "doc_id", "text", "fp").join(lent, F.col("key") == F.col("for"), "left")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     head = F.expr("substring(lent.head, 1, cast(floor(length(text) / 4) as int))")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.when(cut > 0, head).otherwise("")))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("edited_fp"), F.col("lent.fp").alias("next_fp"))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("edited_fp"), F.col("lent.fp").alias("next_fp"), F.col("lent.doc_id").alias("next_id"))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.col("fp")[LONGS].alias("n_paragraphs"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.col("fp")[LONGS].alias("n_paragraphs"), "next_id",
     )
