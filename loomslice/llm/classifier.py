@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import materialize, pick
 
 DIM = 1 << 18
 #: Weights from here on are for shapes and coarse counts, those before for words and their beginnings.
@@ -83,13 +83,21 @@ class OrdinalModel:
         return sum(self.tail(score, k) for k in range(1, len(self.thresholds) + 1))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3, rare: int = 12, telling: float = 4.0) -> OrdinalModel:
-    """Adam on the likelihood of (feature indices, values, grade) rows, all at once; grades weigh by the root of their rarity.
+def telling_features(by_grade: np.ndarray, grades: np.ndarray, *, rare: int = 8, telling: float = 8.0) -> np.ndarray:
+    """Which features get a weight, from their rows by grade (grades x DIM) and all rows by grade.
 
-    Words that fewer than ``rare`` rows have get no weight: they would learn their rows by heart. Nor do
-    those whose rows' grades differ from all rows' by less than ``telling`` standard deviations, chance
-    findings among so many words.
+    Words that fewer than ``rare`` rows have get none: they would learn their rows by heart. Nor do those
+    whose rows' grades differ from all rows' by less than ``telling`` standard deviations, chance findings
+    among so many words.
     """
+    total, n = max(1, int(grades.sum())), by_grade.sum(0)
+    part = (grades / total)[:, None]
+    z = np.abs(by_grade - n * part) / np.sqrt(np.maximum(n * part * (1 - part), 1e-9))
+    return (n >= min(rare, total // 10)) & ((z.max(0) >= telling) | (np.arange(DIM) >= _LAST))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
+    """Adam on the likelihood of (feature indices, values, grade) rows, all at once; grades weigh by the root of their rarity."""
     y = np.array([g for *_, g in rows], int)
     seen = np.bincount(y, minlength=grades) + np.array([0.01] * (grades - 1) + [1.0])
     share = np.cumsum(seen)[:-1] / seen.sum()
@@ -99,13 +107,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, roun
     order = [len(i) for i, *_ in rows]
     index, value = np.concatenate([i for i, *_ in rows]).astype(np.int64), np.concatenate([v for _, v, _ in rows]).astype(np.float64)
     owner = np.repeat(np.arange(len(rows)), order)
-    rows_with = np.bincount(index, minlength=DIM)[index]
-    part = np.bincount(y, minlength=grades) / len(y)
-    by_grade = np.stack([np.bincount(index, y[owner] == g, minlength=DIM) for g in range(grades)])
-    n = by_grade.sum(0)
-    z = np.abs(by_grade - n * part[:, None]) / np.sqrt(np.maximum(n * (part * (1 - part))[:, None], 1e-9))
-    fit_for = (rows_with >= min(rare, len(rows) // 10)) & ((z.max(0)[index] >= telling) | (index >= _LAST))
-    index, value, owner = index[fit_for], value[fit_for], owner[fit_for]
     used, index = np.unique(index, return_inverse=True)
     weight = np.sqrt(len(y) / (grades * seen[y]))
     weight /= weight.sum()
@@ -137,22 +138,50 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, roun
     return OrdinalModel(w, p[k] + np.concatenate([[0.0], np.cumsum(np.exp(p[k + 1 :]))]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", **how) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled documents (labels: doc_id, quality, toxic)."""
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int = 7, rare: int = 8, telling: float = 8.0, id_col: str = "doc_id", text_col: str = "text", **how) -> OrdinalModel:
+    """Fit on at most ``sample`` labelled documents (labels: doc_id, quality, toxic).
+
+    Features are made and counted on the executors; the driver gets a row of counts for each of at most DIM
+    features, and then the sample's features that are worth a weight.
+    """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     graded = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null")
     graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)  # so many rows at most, whatever the input
+    schema = "doc_id long, grade int, at array<int>, value array<float>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for batch in batches:
-            made = [features(t or b"", memory) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], ["doc_id", "grade", "at", "value"])
-
-    texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    got = texts.mapInArrow(run, "doc_id long, grade int, at array<int>, value array<float>").toArrow().combine_chunks().sort_by("doc_id")
-    rows = [(np.asarray(a.values), np.asarray(v.values), g) for a, v, g in zip(got["at"], got["value"], got["grade"].to_pylist())]
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                made = [features(t or b"", memory) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], ["doc_id", "grade", "at", "value"])
+                if len(memory) > _MEMORY // 4:
+                    memory.clear()
+
+    texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "grade")
+    made = materialize(texts.mapInArrow(make, schema), "features")
+    by = [F.count(F.when(F.col("grade") == g, 1)).alias(f"g{g}") for g in range(3)]
+    seen = made.select("grade", F.explode("at").alias("at")).groupBy("at").agg(*by).toArrow()
+    counts = np.zeros((3, DIM))
+    for g in range(3):
+        counts[g, seen["at"].to_numpy()] = seen[f"g{g}"].to_numpy()
+    every = made.agg(*by).first()
+    use = telling_features(counts, np.array(every[:], float), rare=rare, telling=telling)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part, at, value = batch.slice(i, 256), [], []
+                for a, v in zip(part.column(2), part.column(3)):
+                    a, v = a.values.to_numpy(), v.values.to_numpy()
+                    at.append(a[use[a]])
+                    value.append(v[use[a]])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["doc_id", "grade", "at", "value"])
+
+    got = made.mapInArrow(narrow, schema).toArrow().combine_chunks().sort_by("doc_id")
+    rows = [(a.values.to_numpy(), v.values.to_numpy(), g) for a, v, g in zip(got["at"], got["value"], got["grade"].to_pylist())]
     return fit(rows, **how)
 
 
