@@ -24,7 +24,7 @@ def hash60(text: Column, key: str, salt: str = "") -> Column:
 
 
 def choose(values: tuple, h: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (h % len(values) + 1).cast("int"))
+    return F.when(h.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), (h % len(values) + 1).cast("int")))
 
 
 def like_case(value: Column, model: Column, *, title: bool = True) -> Column:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomslice.operators.numbering import running_count
+
 from . import compat, jsonpath, native
 
 
@@ -166,25 +168,38 @@ class Transforms:
 
     def apply(self, table: str, df: DataFrame, order: list[str] | None = None) -> DataFrame:
         """The table with its configured columns scrubbed, each cast to text and back; the others untouched."""
-        new = {}
+        new, numbered = {}, []
         for c, name in self.tables.get(table, {}).items():
             if c not in df.columns:
                 raise TransformError(f"{table} has no column {c!r}")
-            kind = df.schema[c].dataType
-            text = F.col(f"`{c}`").cast("string")
-            new[c] = self.column(name, text, order).cast(kind)
-        return df.withColumns(new) if new else df
+            kind, text, i = df.schema[c].dataType, F.col(f"`{c}`").cast("string"), self.instances[name]
+            if not i.module and i.kind == "IncrementingConstTransform":
+                numbered.append((c, kind, i.config))
+            else:
+                new[c] = self.column(name, text, order).cast(kind)
+        names = df.columns
+        for k, (c, kind, config) in enumerate(numbered):
+            if not order:
+                raise TransformError("IncrementingConstTransform needs columns to number rows by")
+            at, text = f"_number{k}", F.col(f"`{c}`").cast("string")
+            df = running_count(df, ~_passed_over(text, config.get("exclude")), order, at)
+            new[c] = F.when(_passed_over(text, config.get("exclude")), text).otherwise(F.concat(F.lit(config["value"] + " "), F.col(at).cast("string"))).cast(kind)
+        return df.withColumns(new).select(*[f"`{c}`" for c in names]) if new else df
+
+
+def _passed_over(text: Column, exclude: str | None) -> Column:
+    """Rows that aren't counted: null, empty or with the excluded text."""
+    plain = text.isNull() | (text == "")
+    return plain if exclude is None else plain | F.coalesce(text.contains(exclude), F.lit(False))
 
 
 def incrementing(col: Column, value: str, exclude: str | None, order: list[str] | None) -> Column:
     """``value k``, k counting the rows that are neither empty nor excluded, in the given order of the table.
 
-    The count needs all rows in order, in one task; ``operators.numbering`` gives the same for large tables.
+    Within an expression the count needs all rows in one task; ``Transforms.apply`` counts by ranges instead.
     """
     if not order:
         raise TransformError("IncrementingConstTransform needs columns to number rows by")
-    plain = col.isNull() | (col == "")
-    if exclude is not None:
-        plain = plain | col.contains(exclude)
+    plain = _passed_over(col, exclude)
     k = F.sum(F.when(plain, 0).otherwise(1)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return F.when(plain, col).otherwise(F.concat(F.lit(value + " "), k.cast("string")))
