@@ -15,7 +15,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per worker process (some 100 bytes each).
-MEMORY = 1_000_000
+MEMORY = 300_000
 #: A space belongs to the word after it; of a longer run, all but the last character are one piece.
 _BYTE_PIECES = re.compile(rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]")
 #: White space beyond ASCII, which the split above doesn't know.

@@ -35,7 +35,7 @@ _RUNS = re.compile(rb"A+|a+|0+|w+|([^Aa0w])\1*")
 #: A letter for each byte: upper and lower case, digits, bytes beyond ASCII, and marks as they are.
 _SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 else ord("0") if 48 <= c < 58 else ord("a") if c > 127 else c for c in range(256))
 #: Words kept per worker process.
-_MEMORY = 1_000_000
+_MEMORY = 300_000
 
 
 def _bucket(kind: bytes, what: bytes) -> int:
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int =
                 part = batch.slice(i, 256)
                 made = [features(t or b"", memory) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([i for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))], ["doc_id", "grade", "at", "value"])
-                if len(memory) > _MEMORY // 4:
+                if len(memory) > _MEMORY // 2:
                     memory.clear()
 
     texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "grade")
