@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ._common import materialize, pick
 
@@ -34,23 +35,39 @@ _MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 _RUNS = re.compile(rb"A+|a+|0+|w+|([^Aa0w])\1*")
 #: A letter for each byte: upper and lower case, digits, bytes beyond ASCII, and marks as they are.
 _SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 else ord("0") if 48 <= c < 58 else ord("a") if c > 127 else c for c in range(256))
-#: Words kept per worker process.
+#: Words kept per worker process, some 250 bytes each.
 _MEMORY = 300_000
 
 
 def _bucket(kind: bytes, what: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
     h = xxh64_intdigest(kind + what)
     return _LAST + h % (DIM - _LAST) if kind in b"sn" else h % _LAST
 
 
+class _Shapes(dict):
+    """Buckets of shapes by the beginning of a word in _SHAPE's letters, of which there are few."""
+
+    def __missing__(self, form: bytes) -> int:
+        if len(self) > _MEMORY:
+            self.clear()
+        out = self[form] = _bucket(b"s", _RUNS.sub(lambda m: m[0][:2], form)[:12])
+        return out
+
+
+_shapes = _Shapes()
+
+
 def word_buckets(word: bytes) -> tuple[int, ...]:
     """Of its shape, of the word itself, and of its first 3 to 6 characters, which inflected and compound forms share."""
-    shape = _RUNS.sub(lambda m: m[0][:2], word.translate(_SHAPE))[:12]
-    own = word.strip(_MARKS).decode("utf-8", "replace").lower()
-    starts = [_bucket(b"%d" % n, own[:n].encode("utf-8", "replace")) for n in (3, 4, 5, 6) if len(own) >= n]
-    return _bucket(b"s", shape), _bucket(b"w", own.encode("utf-8", "replace")), *starts
+    own = word.strip(_MARKS)
+    if own.isascii():
+        own = own.lower()
+        starts = [own[:n] for n in (3, 4, 5, 6)[: max(0, len(own) - 2)]]
+    else:
+        text = own.decode("utf-8", "replace").lower()
+        own = text.encode("utf-8", "replace")
+        starts = [text[:n].encode("utf-8", "replace") for n in (3, 4, 5, 6)[: max(0, len(text) - 2)]]
+    return _shapes[word.translate(_SHAPE)[:64]], xxh64_intdigest(b"w" + own) % _LAST, *[xxh64_intdigest(b"%d" % n + x) % _LAST for n, x in enumerate(starts, 3)]
 
 
 def coarse(n: int, distinct: int) -> int:
@@ -187,25 +204,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int =
 
 def _scorer(model: OrdinalModel):
     """texts to scores, with the weights of words that were met before at hand."""
-    weights, memory = model.weights, {}
+    weights = model.weights.tolist()
+
+    class Shaped(dict):
+        """Each word's weight of its shape."""
+
+        def __missing__(self, w: bytes) -> float:
+            self[w] = out = 10 * weights[_shapes[w.translate(_SHAPE)[:64]]]
+            return out
 
     class Words(dict):
-        def __missing__(self, w: bytes) -> tuple[float, float]:
-            shape, *own = word_buckets(w)
-            out = self[w] = (float(weights[own].sum()), 10 * float(weights[shape]))
+        """Each word's weights of itself and its beginnings."""
+
+        def __missing__(self, w: bytes) -> float:
+            self[w] = out = sum([weights[b] for b in word_buckets(w)[1:]])
             return out
 
-    memory = Words()
+    shaped, own = Shaped(), Words()
 
     def score(text: bytes) -> float:
         words = text.split()
         distinct = set(words)
-        total = float(weights[coarse(len(words), len(distinct))])
+        total = weights[coarse(len(words), len(distinct))]
         if words:
-            get = memory.__getitem__
-            total += sum([x[0] for x in map(get, distinct)]) + sum([x[1] for x in map(get, words)]) / len(words)
-        if len(memory) > _MEMORY:
-            memory.clear()
+            total += sum(map(own.__getitem__, distinct)) + sum(map(shaped.__getitem__, words)) / len(words)
+        if len(own) > _MEMORY:
+            own.clear()
+            shaped.clear()
         return total
 
     return score
