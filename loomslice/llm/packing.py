@@ -1,8 +1,8 @@
 """Packing documents into fixed sequences by cutting-stock column generation.
 
 Documents become pieces: as many of the full capacity as fit, each a sequence of its own, and the rest.
-The rests' lengths, rounded up to a grid, form a histogram (one bar per grid step, so its size doesn't
-depend on the data). Over it a linear program minimises the number of sequences; its columns are
+The rests' lengths, rounded up to a grid that is fine for short ones, form a histogram (one bar per grid
+step, so its size doesn't depend on the data). Over it a linear program minimises the number of sequences; its columns are
 patterns, multisets of lengths that fit one sequence, priced by a knapsack dynamic program on the dual
 values until none improves. The solution is rounded down, what is left goes first-fit decreasing, and
 the pieces of a length, ranked by where they stand in the input, fill the patterns' places in order.
@@ -10,6 +10,7 @@ the pieces of a length, ranked by where they stand in the input, fill the patter
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,9 +25,16 @@ from ._tokens import encoder, resolve
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, local_rank long"
 _STEP = 128
+#: Lengths up to a bound are rounded up to multiples of a step. Many short pieces share a sequence, and with them their rounding.
+GRID = ((32, 2), (96, 4), (256, 8), (1 << 62, 16))
 
 
-def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, grid: int, id_col: str, text_col: str) -> DataFrame:
+def rounded(length: int, grid: tuple[tuple[int, int], ...] = GRID) -> int:
+    step = next(step for bound, step in grid if length <= bound)
+    return -(-length // step) * step
+
+
+def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, grid: tuple[tuple[int, int], ...], id_col: str, text_col: str) -> DataFrame:
     """A row per piece, with its grid size and its rank among the task's pieces of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +52,7 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: i
                     for start in range(0, n, capacity):
                         own = ids[4 * start : 4 * (start + capacity)]
                         length = len(own) // 4
-                        size = -(-length // grid)
+                        size = rounded(length, grid)
                         rows.append((doc, start, length, zlib.crc32(own), n, part, size, seen[size]))
                         seen[size] += 1
                 cols = list(zip(*rows)) or [()] * 8
@@ -58,12 +66,14 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: i
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """Unbounded knapsack: the best value within the capacity, and the indices of the sizes chosen."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, values = sizes[order], values[order]
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        fit = sizes <= c
-        if fit.any():
-            got = np.where(fit, best[np.maximum(c - sizes, 0)] + values, -1.0)
+        if n := fits[c]:
+            got = best[c - sizes[:n]] + values[:n]
             k = int(got.argmax())
             if got[k] > best[c] + 1e-12:
                 best[c], take[c] = got[k], k
@@ -72,7 +82,7 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
         if take[c] < 0:
             c -= 1
         else:
-            chosen.append(int(take[c]))
+            chosen.append(int(order[take[c]]))
             c -= int(sizes[take[c]])
     return float(best[capacity]), chosen
 
@@ -84,12 +94,14 @@ def cutting_stock(demand: dict[int, int], capacity: int, *, rounds: int = 5000)
         return []
     if sizes[-1] > capacity:
         raise ValueError(f"size {sizes[-1]} is over the capacity {capacity}")
+    unit = math.gcd(capacity, *sizes.tolist())
+    cells = sizes // unit
     d, m = np.array([demand[int(s)] for s in sizes], float), len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     for _ in range(rounds):
         x = np.linalg.solve(basis, d)
         duals = np.linalg.solve(basis.T, np.ones(m))
-        value, chosen = price(duals, sizes, capacity)
+        value, chosen = price(duals, cells, capacity // unit)
         if value <= 1 + 1e-7:
             break
         column = np.bincount(chosen, minlength=m).astype(float)
@@ -132,22 +144,22 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> tuple[list[tuple], int
     return rows, seq
 
 
-def pack(docs: DataFrame, *, tokenizer: str = "public:word_bpe_49k.json", end_id: int = 1, capacity: int = 2048, grid: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str = "public:word_bpe_49k.json", end_id: int = 1, capacity: int = 2048, grid: tuple[tuple[int, int], ...] = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_pieces of the sequence.
 
     A null text counts as empty: one piece with the end id alone. A null doc_id is kept. Each input row
     is a document of its own, so repeated rows are packed as often as they occur. An empty table gives
     no rows. Texts are read once; what is written between is a narrow row per piece. The histogram has
-    at most capacity / grid bars and the table of places at most some thousand rows, whatever the input,
-    so the latter is broadcast. Ranks come from counts by task and size and their prefix sums, not from a sort.
+    a bar per step of the grid (164 at 2048) and the table of places at most some thousand rows, whatever the
+    input, so the latter is broadcast. Ranks come from counts by task and size and their prefix sums, not from a sort.
     """
     spark = docs.sparkSession
-    if capacity % grid:
-        raise ValueError("capacity must be a multiple of grid")
+    if rounded(capacity, grid) != capacity:
+        raise ValueError("capacity must be on the grid")
     pieces = materialize(tokenize_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, grid=grid, id_col=id_col, text_col=text_col), "pieces")
     counts = materialize(pieces.groupBy("size", "part").agg(F.count("*").alias("n")), "piece-counts")
-    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # capacity / grid rows at most
-    rows, _ = places(cutting_stock(demand, capacity // grid))
+    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # a row per step of the grid at most
+    rows, _ = places(cutting_stock(demand, capacity))
     before = F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("size", "part", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["size", "part"]).withColumn("rank", F.col("base") + F.col("local_rank"))
