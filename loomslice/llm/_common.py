@@ -28,18 +28,6 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
-def fresh(df: DataFrame, *wanted: str) -> list[str]:
-    """Names that no column of df has."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for w in wanted:
-        while w.lower() in taken:
-            w = "_" + w
-        taken.add(w.lower())
-        out.append(w)
-    return out
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -6,8 +6,8 @@ ones share some; representatives join on blocks, and Hamming distance verifies w
 
 * Exact: with a fingerprint of 64 bits in k + 3 blocks, two that differ in k bits or fewer agree on at
   least three, so joining on all triples of blocks finds every pair.
-* Wide: with 512 bits in 32 blocks of 16, pairs at a similarity of 0.8 (five-word shingles) share a
-  block 9 times in 10, at 0.9 and more practically always, which no exact split of 64 bits allows.
+* Wide: with 768 bits in 48 blocks of 16, pairs at a similarity of 0.8 (five-word shingles) share a
+  block 97 times in 100, at 0.9 and more practically always, which no exact split of 64 bits allows.
 
 Blocks that many representatives share aren't joined. In exact mode their members are grouped by every
 value within one bit of them: two fingerprints share such a value just if they differ in two bits or
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, fresh, materialize, pick
+from ._common import broadcast_if_small, materialize, pick
 
 #: Shingles whose bits are unpacked at a time.
 _CHUNK = 1 << 15
@@ -224,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 8, max_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12, max_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, l0 .. (the fingerprint's lanes), component_id for every row.
 
     lanes=1 with max_distance=2 is the exact mode; by default the wide one with all pairs at most at the
@@ -255,6 +255,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs whose id is the least of its component, with all their columns; rows with a null id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     lost = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("lost")).distinct(), "lost")
-    key = fresh(docs, "lost")[0]
-    lost = broadcast_if_small(lost).withColumnRenamed("lost", key) if key != "lost" else broadcast_if_small(lost)
-    return docs.join(lost, docs[id_col].cast("long") == lost[key], "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = F.col(names[docs.columns.index(id_col)]).cast("long")
+    return docs.toDF(*names).join(broadcast_if_small(lost), at == F.col("lost"), "left_anti").toDF(*docs.columns)
