@@ -6,15 +6,15 @@ ones share some; representatives join on blocks, and Hamming distance verifies w
 
 * Exact: with a fingerprint of 64 bits in k + 3 blocks, two that differ in k bits or fewer agree on at
   least three, so joining on all triples of blocks finds every pair.
-* Wide: with 768 bits in 48 blocks of 16, pairs at a similarity of 0.8 (five-word shingles) share a
-  block 97 times in 100, at 0.9 and more practically always, which no exact split of 64 bits allows.
+* Wide: 768 bits over a text's distinct shingles. Blocks of 16 bits only bring up candidates; a link is
+  what has a Jaccard similarity of 0.8 or more by the sets of shingles themselves, compared as 64-bit hashes.
 
 Blocks that many representatives share aren't joined. In exact mode their members are grouped by every
 value within one bit of them: two fingerprints share such a value just if they differ in two bits or
-fewer, and no value has over 65 members. In wide mode members are compared with a pivot, and those that
-are too far from it with all others, in chunks, each of which gives a spanning forest. Either finds all
-links without a group's pairs ever being rows. Links then become components by star contraction, in
-written tables; nothing is collected to the driver.
+fewer, and no value has over 65 members. In wide mode a block's members are compared with its least, and
+those that this doesn't connect with all others: as pairs in small blocks, in large ones in tiles, each of
+which gives a spanning forest. Either finds all links without a large group's pairs ever being rows. Links
+then become components by star contraction, in written tables; nothing is collected to the driver.
 
 Null and empty texts and ones without words have fingerprint zero, which links like any other. With fewer
 words than a shingle has, all words are one shingle. Rows with a null id get a fingerprint, and the
@@ -42,6 +42,10 @@ _JOINED = 128
 #: Members compared at a time in a wide block.
 _TILE = 256
 _ODD = 0x9E3779B97F4A7C15
+#: Jaccard similarity from which texts are near-duplicates in wide mode, as a fraction.
+_SIMILAR = (4, 5)
+#: Share of differing bits up to which candidates of the wide mode are compared exactly; 0.19 is the most to be expected of similar sets, small ones included.
+_SIEVE = 0.3
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -62,18 +66,36 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def simhash(text: bytes, size: int, lanes: int = 1) -> list[int]:
-    """The fingerprint's lanes of 64 bits, as signed integers."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """Hashes of all shingles, repeats included."""
     from xxhash import xxh64_digest
 
-    grams = shingles(text, size)
+    return np.frombuffer(b"".join([xxh64_digest(g, 42) for g in shingles(text, size)]), ">u8").astype("u8")
+
+
+def bits_of(h: np.ndarray, lanes: int) -> list[int]:
+    """The fingerprint of hashes: its lanes of 64 bits, as signed integers."""
     ones = np.zeros((lanes, 64), np.int64)
-    for i in range(0, len(grams), _CHUNK):
-        h = np.frombuffer(b"".join([xxh64_digest(g, 42) for g in grams[i : i + _CHUNK]]), ">u8").astype("u8")
+    for i in range(0, len(h), _CHUNK):
         for k in range(lanes):
-            bits = np.unpackbits(_mixed(h, k).astype(">u8").view("u1")).reshape(-1, 64)
+            bits = np.unpackbits(_mixed(h[i : i + _CHUNK], k).astype(">u8").view("u1")).reshape(-1, 64)
             ones[k] += bits.sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(grams), axis=1).view(">i8").ravel().tolist()
+    return np.packbits(2 * ones > len(h), axis=1).view(">i8").ravel().tolist()
+
+
+def simhash(text: bytes, size: int, lanes: int = 1) -> list[int]:
+    """The fingerprint's lanes. One lane counts shingles as often as they occur, more count each once."""
+    h = shingle_hashes(text, size)
+    return bits_of(h if lanes == 1 else np.unique(h), lanes)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as ascending arrays, have a Jaccard similarity of _SIMILAR or more."""
+    part, whole = _SIMILAR
+    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * whole >= (len(a) + len(b) - common) * part
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
@@ -121,25 +143,113 @@ def _near_values(hot: DataFrame) -> DataFrame:
     return stars.distinct()
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges enough to connect what pairs connect."""
-    top: dict[int, int] = {}
+class _Forest:
+    """Which numbers are connected."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        top = self.top
         while (up := top.setdefault(x, x)) != x:
             top[x] = top[up]
             x = up
         return x
 
-    out = []
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.top[max(x, y)] = min(x, y)
+
+
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Edges enough to connect what pairs connect."""
+    joined, out = _Forest(), []
     for a, b in pairs.tolist():
-        x, y = root(a), root(b)
-        if x != y:
-            top[max(x, y)] = min(x, y)
+        if joined.root(a) != joined.root(b):
+            joined.join(a, b)
             out.append((min(a, b), max(a, b)))
     return out
 
 
+def _shingle_sets(rows: DataFrame, wanted: DataFrame, shingle_words: int, lanes: int) -> DataFrame:
+    """rep, the fingerprint's lanes, and the distinct shingles' hashes in ascending order, for the rows wanted."""
+    names = [f"l{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                grams = [np.unique(shingle_hashes(t or b"", shingle_words)).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in ["rep", *names]], pa.array(grams, pa.binary())], ["rep", *names, "grams"])
+
+    texts = rows.select(F.col("row").alias("rep"), "text").join(wanted.select("rep", *names), "rep").select("rep", *names, "text")
+    return materialize(texts.mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in names) + ", grams binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, lanes: int, max_distance: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist())
+            hit = pa.array([similar(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], ["a", "b"])
+
+    bits = F.struct(*[f"l{k}" for k in range(lanes)])
+    found = pairs.join(sets.select(F.col("rep").alias("a"), bits.alias("x"), F.col("grams").alias("ga")), "a")
+    found = found.join(sets.select(F.col("rep").alias("b"), bits.alias("y"), F.col("grams").alias("gb")), "b")
+    return found.where(distance("x", "y", lanes) <= max_distance).select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def _tiled(both: DataFrame, sets: DataFrame, lanes: int, max_distance: int) -> DataFrame:
+    """Links of blocks' odd members with all members, by tiles of both."""
+    cols = [f"l{k}" for k in range(lanes)]
+    tiles = lambda n: F.ceil(F.col(n) / _TILE).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), tiles(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    left = both.where("odd").select("kid", "key", "rep", "comp", F.lit(True).alias("odd_side"), own("n_odd", 1).alias("i"), every("n").alias("j"))
+    right = both.select("kid", "key", "rep", "comp", F.lit(False).alias("odd_side"), every("n_odd").alias("i"), own("n", 2).alias("j"))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        side = g["odd_side"].to_numpy(bool)
+        bits, ids, comps = g[cols].to_numpy(np.int64), g["rep"].to_numpy(np.int64), g["comp"].to_numpy(np.int64)
+        grams = [np.frombuffer(x, "u8") for x in g["grams"]]
+        others = np.flatnonzero(~side)
+        joined, edges = _Forest(), []
+        for at in np.flatnonzero(side):
+            d = np.bitwise_count((bits[others] ^ bits[at]).view(np.uint64)).sum(1)
+            for to in others[(d <= max_distance) & (comps[others] != comps[at])]:
+                x, y = int(comps[at]), int(comps[to])
+                if joined.root(x) != joined.root(y) and similar(grams[at], grams[to]):
+                    joined.join(x, y)
+                    edges.append((min(ids[at], ids[to]), max(ids[at], ids[to])))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return left.unionByName(right).join(sets, "rep").groupBy("kid", "key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def similar_links(rows: DataFrame, reps: DataFrame, keys: Column, *, shingle_words: int, lanes: int, max_distance: int) -> DataFrame:
+    """(a, b) with a < b: enough links between representatives to connect all that are similar and share a block."""
+    every = reps.select("rep", F.inline(keys))
+    blocks = materialize(every.groupBy("kid", "key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "blocks")
+    members = materialize(every.join(blocks, ["kid", "key"]), "members")
+    sets = _shingle_sets(rows, reps.join(members.select("rep").distinct(), "rep", "left_semi"), shingle_words, lanes)
+    stars = members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    near = materialize(_verified(stars, sets, lanes, max_distance), "stars")
+    # what stars have connected needs no other links
+    named = components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    at = materialize(members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+    pivots = at.where("rep = pivot").select("kid", "key", F.col("comp").alias("own"))
+    at = at.join(pivots, ["kid", "key"]).withColumn("odd", F.col("comp") != F.col("own"))
+    odd = materialize(at.groupBy("kid", "key").agg(F.count_if("odd").alias("n_odd")).where("n_odd > 0"), "odd")
+    both = materialize(at.join(odd, ["kid", "key"]).select("kid", "key", "rep", "n", "comp", "odd", "n_odd"), "both")
+    calm = both.where(F.col("n") <= _JOINED)
+    on = (F.col("a.kid") == F.col("b.kid")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
+    pairs = calm.where("odd").alias("a").join(calm.alias("b"), on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+    more = _verified(pairs, sets, lanes, max_distance).unionByName(_tiled(both.where(F.col("n") > _JOINED), sets, lanes, max_distance))
+    return materialize(near.unionByName(more).distinct(), "links")
+
+
 def _pivot_links(hot: DataFrame, reps: DataFrame, lanes: int, max_distance: int) -> DataFrame:
     """Links within large blocks of wide fingerprints."""
     cols = [f"l{k}" for k in range(lanes)]
@@ -224,18 +334,39 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def similar_rows(rows: DataFrame, *, shingle_words: int, lanes: int, max_distance: int | None = None) -> DataFrame:
+    """row, l0 .., component (the least row of it) by the wide mode, for rows of a written table (row, text)."""
+    if max_distance is None:
+        max_distance = round(64 * lanes * _SIEVE)
+    cols = [f"l{k}" for k in range(lanes)]
+    prints = fingerprints(rows, shingle_words=shingle_words, lanes=lanes, id_col="row", text_col="text").withColumnRenamed("doc_id", "row")
+    prints = materialize(prints, "fingerprints")
+    reps = materialize(prints.groupBy(*cols).agg(F.min("row").alias("rep")), "representatives")
+    found = components(similar_links(rows, reps, wide_keys(lanes), shingle_words=shingle_words, lanes=lanes, max_distance=max_distance))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = materialize(named.select(*cols, F.coalesce("component", "rep").alias("component")), "named")
+    return prints.join(named, cols).select("row", *cols, "component")
+
+
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12, max_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, l0 .. (the fingerprint's lanes), component_id for every row.
 
-    lanes=1 with max_distance=2 is the exact mode; by default the wide one with all pairs at most at the
-    distance that a similarity of 0.8 comes to (a bit over it, for the estimate's spread).
+    lanes=1 with max_distance=2 is the exact mode; by default the wide one, where max_distance is how far
+    candidates may be apart to be compared exactly.
     """
-    if max_distance is None:
-        max_distance = round(64 * lanes * 0.172)
     cols = [f"l{k}" for k in range(lanes)]
+    if max_distance is None:
+        max_distance = round(64 * lanes * (_SIEVE if lanes > 1 else 0.172))
+    if lanes > 1:
+        rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = similar_rows(rows, shingle_words=shingle_words, lanes=lanes, max_distance=max_distance)
+        found = materialize(found.join(rows.select("row", "doc_id"), "row"), "found")
+        named = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        return found.join(named, "component").select("doc_id", *cols, "component_id")
     prints = materialize(fingerprints(docs, shingle_words=shingle_words, lanes=lanes, id_col=id_col, text_col=text_col), "fingerprints")
     reps = materialize(prints.groupBy(*cols).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "representatives")
-    found = components(links(reps, wide_keys(lanes) if lanes > 1 else exact_keys(max_distance), lanes, max_distance))
+    found = components(links(reps, exact_keys(max_distance), lanes, max_distance))
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = materialize(named.select(*cols, F.coalesce("component", "rep").alias("component_id")), "named")
     return prints.join(named, cols, "left").select("doc_id", *cols, "component_id")

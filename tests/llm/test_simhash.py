@@ -140,3 +140,22 @@ def test_keep_one_keeps_columns_and_null_ids(odd, clashing, none):
     assert simhash.keep_one(none).count() == 0
     wide = simhash.keep_one(clashing)
     assert wide.columns == clashing.columns and wide.count() == kept.count()
+
+
+def jaccard(a, b):
+    """Similarity of two texts' sets of five-word shingles, by words."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_repeated_lines_do_not_outweigh_content(spark):
+    """Different documents that repeat one line stay apart; the same shingles with a line more often or less are one group."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    line = " ".join(rng.choices(words, k=8))
+    different = [(i, " ".join(rng.choices(words, k=30)) + f" {line}" * 10 + " " + " ".join(rng.choices(words, k=30))) for i in range(40)]
+    body = " ".join(rng.choices(words, k=60))
+    same = [(100, body + f" {line}" * 2), (101, body + f" {line}" * 40)]
+    assert max(jaccard(different[0][1], t) for _, t in different[1:]) < 0.3 and jaccard(same[0][1], same[1][1]) == 1
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(different + same, "doc_id long, text string")).collect()}
+    assert comp == {**{i: i for i in range(40)}, 100: 100, 101: 100}
