@@ -159,3 +159,17 @@ def test_repeated_lines_do_not_outweigh_content(spark):
     assert max(jaccard(different[0][1], t) for _, t in different[1:]) < 0.3 and jaccard(same[0][1], same[1][1]) == 1
     comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(different + same, "doc_id long, text string")).collect()}
     assert comp == {**{i: i for i in range(40)}, 100: 100, 101: 100}
+
+
+def test_pairs_at_the_limit_are_found_and_ones_below_are_not(spark):
+    """320 of 400 shingles in common link, 319 of 401 don't."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(20000)]
+    data = []
+    for i in range(300):
+        same = 320 if i < 200 else 319
+        base = rng.choices(words, k=364)
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: same + 4] + rng.choices(words, k=360 - same)))]
+    assert jaccard(data[0][1], data[1][1]) == 0.8 > jaccard(data[400][1], data[401][1])
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert comp == {i: i - i % 2 if i < 400 else i for i in comp}
