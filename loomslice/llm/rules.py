@@ -12,7 +12,9 @@ empty one. Rows repeat if they are repeated, null ids are kept, an empty table g
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from math import exp, log
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,20 +77,23 @@ def votes(s: Column) -> dict[str, Column]:
     """The rules: each a column that is 1 (good), -1 (bad) or 0 (no vote).
 
     A rule that looks for a fault votes bad or not at all: that one fault is missing says little. Two rules
-    look for the marks of prose.
+    look for the marks of prose, and only where there is no fault: they hold for nearly every document, so
+    that otherwise no fault could ever outweigh them, however few documents have it.
     """
     n, chars = s["n_words"], s["word_chars"]
-    bad = lambda c: F.when(c, BAD).otherwise(0)
-    good = lambda c: F.when(c, GOOD).otherwise(0)
-    return {
-        "length": bad(n < 50),
-        "word_length": bad((chars < 2 * n) | (chars > 16 * n)),
-        "symbols": bad(s["n_symbols"] >= 0.25 * n),
-        "capitals": bad(s["n_upper"] >= 0.4 * s["n_letters"]),
-        "letters": bad(s["n_letters"] < 0.65 * chars),
-        "shouting": bad(s["n_shouts"] >= 0.4 * n),
-        "lines": bad((s["lines"]["n"] >= 4) & (s["lines"]["dup"] >= 0.4 * s["lines"]["n"])),
-        "repeats": bad(s["n_repeat_words"] >= 0.5 * n),
+    faults = {
+        "length": n < 50,
+        "word_length": (chars < 2 * n) | (chars > 16 * n),
+        "symbols": s["n_symbols"] >= 0.25 * n,
+        "capitals": s["n_upper"] >= 0.4 * s["n_letters"],
+        "letters": s["n_letters"] < 0.65 * chars,
+        "shouting": s["n_shouts"] >= 0.4 * n,
+        "lines": (s["lines"]["n"] >= 4) & (s["lines"]["dup"] >= 0.4 * s["lines"]["n"]),
+        "repeats": s["n_repeat_words"] >= 0.5 * n,
+    }
+    sound = ~reduce(or_, faults.values())
+    good = lambda c: F.when(sound & c, GOOD).otherwise(0)
+    return {r: F.when(c, BAD).otherwise(0) for r, c in faults.items()} | {
         "prose": good((s["n_letters"] >= 0.85 * chars) & (s["n_symbols"] <= 0.05 * n) & (s["n_upper"] <= 0.3 * s["n_letters"]) & (s["n_shouts"] <= 0.1 * n)),
         "fresh": good((n >= 50) & (s["n_repeat_words"] <= 0.2 * n) & (s["lines"]["dup"] <= 0.2 * s["lines"]["n"]) & (s["n_symbols"] <= 0.05 * n)),
     }

@@ -109,3 +109,28 @@ def test_no_single_fault_outweighs_good_prose(spark):
 
 def test_empty_model():
     assert rules.fit([]).posterior({"a": 1}) > 0.5 > rules.fit([]).posterior({"a": -1})
+
+
+@pytest.mark.parametrize("share", [1, 4, 20])
+def test_single_faults_are_rejected_however_rare(spark, share):
+    """Of 400 documents, share with each of four single faults, 20 short ones, and the rest without fault."""
+    rng = random.Random(share)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    prose = lambda n=120: " ".join(word() for _ in range(n))
+    faulty = {
+        "capitals": lambda: prose().upper(),
+        "shouting": lambda: " ".join(word() + "!" * (i % 2) for i in range(120)),
+        "letters": lambda: " ".join(word()[:4] + str(rng.randrange(100, 10**4)) for _ in range(120)),
+        "lines": lambda: "\n".join([prose(60) for _ in range(5)] + ["two words"] * 5),
+    }
+    data, want = [], {}
+    for name, make in faulty.items():
+        for _ in range(share):
+            want[len(data)] = name
+            data.append((len(data), make()))
+    data += [(1000 + i, prose(20)) for i in range(20)] + [(2000 + i, prose()) for i in range(400 - len(data) - 20)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    s = rules.statistics(F.col("text"))
+    voted = df.select("doc_id", *[c.alias(r) for r, c in rules.votes(s).items()]).where("doc_id < 1000").collect()
+    assert all([r for r in rules.votes(s) if v[r] < 0] == [want[v["doc_id"]]] for v in voted)
+    assert {r["doc_id"] for r in rules.rule_report(df).where("kept").collect()} == {i for i, _ in data if i >= 2000}
