@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from conftest_llm import rows
 from pyspark.sql import functions as F
@@ -46,3 +48,40 @@ def test_clean_documents_stay(spark):
     good, bad = labels.where("q = 1 and t = 0"), labels.where("t = 1")
     assert kept.join(good, "doc_id", "left_semi").count() >= 0.9 * good.count()
     assert kept.join(bad, "doc_id", "left_semi").count() <= 0.2 * bad.count()
+
+
+def test_near_dedup_is_brute_force(spark, sf, docs):
+    """Components by exact similarity of five-word shingles, on the documents and made pairs from 0.7 to 0.9 and repeated lines."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(9000)]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    at = max(texts) + 1
+    for k in range(60):
+        base = rng.choices(words, k=204)
+        same = 165 + k  # of 200 shingles: similarities of 0.70 and more
+        line = " ".join(base[:8])
+        near = base[: same + 4] + rng.choices(words, k=200 - same) if same < 200 else base
+        more = [" ".join(base), " ".join(near), f"{line} " * 9 + " ".join(rng.choices(words, k=50)), f"{line} " * 9 + " ".join(rng.choices(words, k=50))]
+        texts |= {at + i: t for i, t in enumerate(more)}
+        at += len(more)
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf).collect()}
+    assert kept == {i for i in ids if root(i) == i}
