@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,10 +80,41 @@ def words_of(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     """Words of a text (null: none)."""
-    return F.coalesce(F.size(words_of(text)), F.lit(0)).cast("long")
+    return F.size(words_of(F.coalesce(text, F.lit("")))).cast("long")
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it is counted to be small, else df itself, which is then joined by shuffle."""
     rows = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one thing at a time, so that a later stage's takes the place of an earlier's."""
+    if key not in _kept:
+        _kept.clear()
+        _trim()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; allocators would keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving memory back at the end of a task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return wrapped

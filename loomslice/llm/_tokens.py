@@ -12,10 +12,14 @@ import re
 import unicodedata
 from array import array
 
+from ._common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per worker process (some 100 bytes each).
-MEMORY = 300_000
+#: Bytes of pieces and their ids that a worker process remembers, the dictionary's own share included.
+MEMORY = 40_000_000
+#: What a remembered piece takes besides its own bytes, and the longest piece worth it.
+_ENTRY, _LONGEST = 150, 64
 #: A space belongs to the word after it; of a longer run, all but the last character are one piece.
 _BYTE_PIECES = re.compile(rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]")
 #: White space beyond ASCII, which the split above doesn't know.
@@ -38,33 +42,45 @@ _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+",
 
 
 class _Memory(dict):
-    """Pieces' ids; one that is missing is learnt."""
+    """Pieces' ids; one that is missing is learnt, and a short one is kept until the memory's bytes are used up."""
 
     def __init__(self, owner: TextEncoder):
-        self.owner = owner
+        self.owner, self.room = owner, MEMORY
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self[piece] = self.owner.learn(piece)
+        ids = self.owner.learn(piece)
+        if len(piece) <= _LONGEST:
+            own = _ENTRY + len(piece) + len(ids)
+            if self.room < own:
+                self.clear()
+                self.room = MEMORY
+            self.room -= own
+            self[piece] = ids
         return ids
 
 
 class TextEncoder:
-    """encode(list of UTF-8 bytes) gives, per text, its ids as little-endian unsigned 32-bit bytes."""
+    """encode(list of UTF-8 bytes) gives, per text, its ids as little-endian unsigned 32-bit bytes.
+
+    A special token's string within a text is that token, as the library has it by default; with plain=True
+    it is ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            conf = json.load(f)
+        self.tk.encode_special_tokens = plain
+        added = self.tk.get_added_tokens_decoder().values()
+        # texts with one of these go to the library whole; a token sought after normalisation can be there in many forms
+        self.marks = [t.content.encode() for t in added if not (plain and t.special)]
         self.model, self.memory, self.letters = self.tk.model, _Memory(self), _byte_letters()
-        self.kind = self._kind(conf)
+        self.kind = "whole" if any(t.normalized and not (plain and t.special) for t in added) else self._kind()
 
-    @staticmethod
-    def _kind(conf: dict) -> str:
-        pre, norm, model = conf.get("pre_tokenizer") or {}, conf.get("normalizer"), conf["model"]
-        if model.get("type") != "BPE" or model.get("dropout") or conf.get("truncation"):
+    def _kind(self) -> str:
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        pre, norm = state(self.tk.pre_tokenizer) or {}, state(self.tk.normalizer)
+        if type(self.model).__name__ != "BPE" or self.model.dropout or self.tk.truncation:
             return "whole"
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
             return "bytes"
@@ -114,16 +130,17 @@ class TextEncoder:
             plain = None
         if plain is not None:
             return self._ids(plain) if body is piece else memory[body] + memory[piece[-1:]]
-        return array("I", self.tk.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        return self._whole(piece)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.kind == "whole":
             return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         cut = bytes.split if self.kind == "words" else self._byte_pieces
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
         get = self.memory.__getitem__
-        return [b"".join(map(get, cut(t))) for t in texts]
+        return [self._whole(t) if any(m in t for m in self.marks) else b"".join(map(get, cut(t))) for t in texts]
+
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self.tk.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def _byte_pieces(self, text: bytes) -> list[bytes]:
         if not text.isascii() and _WIDE_SPACE.search(text.decode("utf-8", "replace")):
@@ -133,14 +150,9 @@ class TextEncoder:
         return _BYTE_PIECES.findall(text)
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, plain: bool = False) -> TextEncoder:
     """The worker process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path, plain), lambda: TextEncoder(path, plain))
 
 
 def public_path(name: str) -> str:

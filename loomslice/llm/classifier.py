@@ -9,7 +9,8 @@ Grades from labels: 0 for low quality, 1 for toxic, 2 for neither; the lowest of
 The model is fitted in the driver on at most ``sample`` labelled documents, those with the least hash of
 the id; scoring covers all documents and is done within a row, without a shuffle.
 
-A null or empty text has no words and only the coarse counts. Labels that are null or without a document
+Whole texts are graded, however long; what a worker remembers of words is bounded. A null or empty text
+has no words and only the coarse counts. Labels that are null or without a document
 don't count; without any, the model has no weights and every document gets the top grade. Null ids are
 kept, repeated rows repeat, an empty table gives no rows.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._common import materialize, pick
+from ._common import kept, materialize, pick, tidy
 
 DIM = 1 << 18
 #: Weights from here on are for shapes and coarse counts, those before for words and their beginnings.
@@ -35,8 +36,8 @@ _MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 _RUNS = re.compile(rb"A+|a+|0+|w+|([^Aa0w])\1*")
 #: A letter for each byte: upper and lower case, digits, bytes beyond ASCII, and marks as they are.
 _SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 else ord("0") if 48 <= c < 58 else ord("a") if c > 127 else c for c in range(256))
-#: Words kept per worker process, some 250 bytes each.
-_MEMORY = 300_000
+#: Words kept per worker process, some 250 bytes each, and the longest one kept.
+_MEMORY, _LONGEST = 80_000, 64
 
 
 def _bucket(kind: bytes, what: bytes) -> int:
@@ -74,8 +75,23 @@ def coarse(n: int, distinct: int) -> int:
     return _bucket(b"n", b"%d %d" % (n.bit_length(), 8 * distinct // n if n else -1))
 
 
-def features(text: bytes, memory: dict) -> tuple[list[int], list[float]]:
+def split_words(text: bytes) -> list[bytes]:
+    """Runs of anything but ASCII white space; one of over _LONGEST bytes counts as stretches of 12 characters, so that all of it is graded."""
     words = text.split()
+    if not words or len(max(words, key=len)) <= _LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= _LONGEST:
+            out.append(w)
+        else:
+            long = w.decode("utf-8", "replace")
+            out += [long[i : i + 12].encode() for i in range(0, len(long), 12)]
+    return out
+
+
+def features(text: bytes, memory: dict) -> tuple[list[int], list[float]]:
+    words = split_words(text)
     distinct = set(words)
     out: dict[int, float] = {coarse(len(words), len(distinct)): 1.0}
     for w in distinct:
@@ -100,17 +116,17 @@ class OrdinalModel:
         return sum(self.tail(score, k) for k in range(1, len(self.thresholds) + 1))
 
 
-def telling_features(by_grade: np.ndarray, grades: np.ndarray, *, rare: int = 8, telling: float = 8.0) -> np.ndarray:
+def telling_features(by_grade: np.ndarray, grades: np.ndarray, *, rare: int = 8, telling: float = 0.09, chance: float = 3.5) -> np.ndarray:
     """Which features get a weight, from their rows by grade (grades x DIM) and all rows by grade.
 
     Words that fewer than ``rare`` rows have get none: they would learn their rows by heart. Nor do those
-    whose rows' grades differ from all rows' by less than ``telling`` standard deviations, chance findings
-    among so many words.
+    whose correlation with every grade is under ``telling``, or could be a chance finding among so many words
+    (under ``chance`` standard deviations, which decides where there are few labels).
     """
     total, n = max(1, int(grades.sum())), by_grade.sum(0)
     part = (grades / total)[:, None]
     z = np.abs(by_grade - n * part) / np.sqrt(np.maximum(n * part * (1 - part), 1e-9))
-    return (n >= min(rare, total // 10)) & ((z.max(0) >= telling) | (np.arange(DIM) >= _LAST))
+    return (n >= min(rare, total // 10)) & ((z.max(0) >= max(telling * np.sqrt(total), chance)) | (np.arange(DIM) >= _LAST))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
@@ -155,11 +171,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, grades: int = 3, roun
     return OrdinalModel(w, p[k] + np.concatenate([[0.0], np.cumsum(np.exp(p[k + 1 :]))]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int = 7, rare: int = 8, telling: float = 8.0, id_col: str = "doc_id", text_col: str = "text", **how) -> OrdinalModel:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int = 7, rare: int = 8, telling: float = 0.09, id_col: str = "doc_id", text_col: str = "text", **how) -> OrdinalModel:
     """Fit on at most ``sample`` labelled documents (labels: doc_id, quality, toxic).
 
     Features are made and counted on the executors; the driver gets a row of counts for each of at most DIM
-    features, and then the sample's features that are worth a weight.
+    features, and then, of at most ``sample`` documents, the features that are worth a weight.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     graded = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null")
@@ -178,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, seed: int =
                     memory.clear()
 
     texts = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "grade")
-    made = materialize(texts.mapInArrow(make, schema), "features")
+    made = materialize(texts.mapInArrow(tidy(make), schema), "features")
     by = [F.count(F.when(F.col("grade") == g, 1)).alias(f"g{g}") for g in range(3)]
     seen = made.select("grade", F.explode("at").alias("at")).groupBy("at").agg(*by).toArrow()
     counts = np.zeros((3, DIM))
@@ -223,7 +239,7 @@ def _scorer(model: OrdinalModel):
     shaped, own = Shaped(), Words()
 
     def score(text: bytes) -> float:
-        words = text.split()
+        words = split_words(text)
         distinct = set(words)
         total = weights[coarse(len(words), len(distinct))]
         if words:
@@ -236,14 +252,8 @@ def _scorer(model: OrdinalModel):
     return score
 
 
-_scorers: dict[str, object] = {}
-
-
 def _scores(model: OrdinalModel, key: str, column) -> np.ndarray:
-    if key not in _scorers:
-        _scorers.clear()  # one model per worker process at a time
-        _scorers[key] = _scorer(model)
-    score = _scorers[key]
+    score = kept(("scorer", key), lambda: _scorer(model))
     return np.array([score(t or b"") for t in column.cast(pa.binary()).to_pylist()], float)
 
 
@@ -262,7 +272,7 @@ def rate(docs: DataFrame, model: OrdinalModel, *, threshold: float = 0.5, id_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array(model.expected(s)), pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "expected_grade", "p_top", "kept"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double, expected_grade double, p_top double, kept boolean")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run), "doc_id long, score double, expected_grade double, p_top double, kept boolean")
 
 
 def keep_top(docs: DataFrame, model: OrdinalModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -279,4 +289,4 @@ def keep_top(docs: DataFrame, model: OrdinalModel, *, threshold: float = 0.5, te
                 yield part.filter(pa.array(model.tail(_scores(model, key, part.column(at)), top) >= threshold))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)

@@ -6,6 +6,10 @@ step, so its size doesn't depend on the data). Over it a linear program minimise
 patterns, multisets of lengths that fit one sequence, priced by a knapsack dynamic program on the dual
 values until none improves. The solution is rounded down, what is left goes first-fit decreasing, and
 the pieces of a length, ranked by where they stand in the input, fill the patterns' places in order.
+
+A null text counts as empty, which is one piece with the end id alone. Null ids are kept, repeated rows are
+documents of their own, equal lengths are ranked by where they stand, an empty table gives no rows. Texts
+are encoded whole, however long; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -13,14 +17,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick
+from ._common import materialize, pick, tidy
 from ._tokens import encoder, resolve
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, local_rank long"
@@ -34,13 +38,13 @@ def rounded(length: int, grid: tuple[tuple[int, int], ...] = GRID) -> int:
     return -(-length // step) * step
 
 
-def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, grid: tuple[tuple[int, int], ...], id_col: str, text_col: str) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, grid: tuple[tuple[int, int], ...], specials_as_text: bool, id_col: str, text_col: str) -> DataFrame:
     """A row per piece, with its grid size and its rank among the task's pieces of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, part = encoder(resolve(tokenizer)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, part = encoder(resolve(tokenizer), specials_as_text), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
             for i in range(0, batch.num_rows, _STEP):
@@ -61,55 +65,119 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, _PIECES)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run), _PIECES)
+
+
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, Callable[[int], list[int]]]:
+    """Unbounded knapsack: the best value for every room up to the capacity, and a function from a room to the sizes' indices chosen there.
+
+    One size after the other, for all rooms at once: with a size of s, rooms that are s apart form a column, in
+    which the best number of times is a running maximum.
+    """
+    order = np.lexsort((-values, sizes))
+    least = np.maximum.accumulate(np.concatenate([[0.0], values[order]]))[:-1]
+    order = order[values[order] > least]  # a larger size that is worth no more is never needed
+    best, taken = np.zeros(capacity + 1), []
+    for k in order:
+        s, v = int(sizes[k]), values[k]
+        if s > capacity:
+            break
+        steps = np.arange(-(-(capacity + 1) // s))[:, None]
+        column = np.full(steps.size * s, -np.inf)
+        column[: capacity + 1] = best
+        column = column.reshape(-1, s) - v * steps
+        top = np.maximum.accumulate(column, 0)
+        since = np.maximum.accumulate(np.where(column == top, steps, 0), 0)
+        best = (top + v * steps).ravel()[: capacity + 1]
+        taken.append((int(k), s, (steps - since).ravel()[: capacity + 1]))
+
+    def fill(room: int) -> list[int]:
+        chosen = []
+        for k, s, times in reversed(taken):
+            n = int(times[room])
+            chosen += [k] * n
+            room -= n * s
+        return chosen
+
+    return best, fill
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """Unbounded knapsack: the best value within the capacity, and the indices of the sizes chosen."""
-    order = np.argsort(sizes, kind="stable")
-    sizes, values = sizes[order], values[order]
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            got = best[c - sizes[:n]] + values[:n]
-            k = int(got.argmax())
-            if got[k] > best[c] + 1e-12:
-                best[c], take[c] = got[k], k
-    chosen, c = [], capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            chosen.append(int(order[take[c]]))
-            c -= int(sizes[take[c]])
-    return float(best[capacity]), chosen
+    """The best value within the capacity, and the indices of the sizes chosen."""
+    best, fill = knapsack(values, sizes, capacity)
+    return float(best[capacity]), fill(capacity)
+
+
+#: Columns tried after each pricing, and exchanges after which the basis is inverted anew.
+_COLUMNS, _ANEW = 24, 128
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product without BLAS, whose threads can wait for ever in a process that has started another one, as drivers have."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss and Jordan's steps, without BLAS as well."""
+    m = len(matrix)
+    work = np.concatenate([matrix, np.eye(m)], 1)
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        work -= np.multiply.outer(others, work[k])
+    return work[:, m:]
 
 
 def cutting_stock(demand: dict[int, int], capacity: int, *, rounds: int = 5000) -> list[tuple[dict[int, int], int]]:
-    """(pattern as size -> times, number of sequences) so that each size is placed exactly as often as asked for."""
+    """(pattern as size -> times, number of sequences) so that each size is placed exactly as often as asked for.
+
+    Each pricing gives several columns: the best pattern with each of the sizes that promise most. It ends when
+    none improves, or the duals prove that less than a quarter of a sequence can be gained.
+    """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), int)
     if not len(sizes):
         return []
     if sizes[-1] > capacity:
         raise ValueError(f"size {sizes[-1]} is over the capacity {capacity}")
     unit = math.gcd(capacity, *sizes.tolist())
-    cells = sizes // unit
+    cells, room = sizes // unit, capacity // unit
     d, m = np.array([demand[int(s)] for s in sizes], float), len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
+    inverse, since = _inverse(basis), 0
+    x = _times(inverse, d)
     for _ in range(rounds):
-        x = np.linalg.solve(basis, d)
-        duals = np.linalg.solve(basis.T, np.ones(m))
-        value, chosen = price(duals, cells, capacity // unit)
-        if value <= 1 + 1e-7:
+        duals = inverse.sum(0)
+        best, fill = knapsack(duals, cells, room)
+        value = best[room]
+        if value <= 1 + 1e-7 or x.sum() * (1 - 1 / value) < 0.25:
             break
-        column = np.bincount(chosen, minlength=m).astype(float)
-        move = np.linalg.solve(basis, column)
-        up = move > 1e-9
-        ratio = np.where(up, np.maximum(x, 0) / np.where(up, move, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    whole = np.floor(np.maximum(np.linalg.solve(basis, d), 0) + 1e-6).astype(int)
+        promise = duals + best[room - cells]
+        tried: set[tuple[int, ...]] = set()
+        for k in np.argsort(-promise, kind="stable")[:_COLUMNS]:
+            if promise[k] <= 1 + 1e-7:
+                break
+            chosen = tuple(sorted([int(k), *fill(int(room - cells[k]))]))
+            column = np.bincount(chosen, minlength=m).astype(float)
+            if chosen in tried or (inverse.sum(0) * column).sum() <= 1 + 1e-7:
+                continue
+            tried.add(chosen)
+            move = _times(inverse, column)
+            up = move > 1e-9
+            ratio = np.where(up, np.maximum(x, 0) / np.where(up, move, 1), np.inf)
+            out = int(ratio.argmin())
+            basis[:, out] = column
+            since += 1
+            if since % _ANEW:
+                row = inverse[out] / move[out]
+                inverse -= np.multiply.outer(move, row)
+                inverse[out] = row
+            else:
+                inverse = _inverse(basis)
+            x = _times(inverse, d)
+    whole = np.floor(np.maximum(_times(_inverse(basis), d), 0) + 1e-6).astype(int)
     left, out = d.astype(int), []
     for k in range(m):
         column = basis[:, k].astype(int)
@@ -144,7 +212,7 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> tuple[list[tuple], int
     return rows, seq
 
 
-def pack(docs: DataFrame, *, tokenizer: str = "public:word_bpe_49k.json", end_id: int = 1, capacity: int = 2048, grid: tuple[tuple[int, int], ...] = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str = "public:word_bpe_49k.json", end_id: int = 1, capacity: int = 2048, grid: tuple[tuple[int, int], ...] = GRID, specials_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_pieces of the sequence.
 
     A null text counts as empty: one piece with the end id alone. A null doc_id is kept. Each input row
@@ -156,7 +224,7 @@ def pack(docs: DataFrame, *, tokenizer: str = "public:word_bpe_49k.json", end_id
     spark = docs.sparkSession
     if rounded(capacity, grid) != capacity:
         raise ValueError("capacity must be on the grid")
-    pieces = materialize(tokenize_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, grid=grid, id_col=id_col, text_col=text_col), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, grid=grid, specials_as_text=specials_as_text, id_col=id_col, text_col=text_col), "pieces")
     counts = materialize(pieces.groupBy("size", "part").agg(F.count("*").alias("n")), "piece-counts")
     demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # a row per step of the grid at most
     rows, _ = places(cutting_stock(demand, capacity))

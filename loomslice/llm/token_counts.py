@@ -10,7 +10,8 @@ it has UTF-8 bytes. Each worker process keeps one trie, shared by all its tasks,
 when it has too many nodes, which changes the speed and not the counts. There is no shuffle.
 
 A null text and one without words have no tokens. Null ids are kept, repeated rows repeat, an empty table
-gives no rows. Whole texts are read; a pre-token of any length is one path of the trie.
+gives no rows. Whole texts are read; a pre-token of over 256 characters doesn't enter the trie, which few
+share, but is scored by the same program with the last positions alone in memory.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import kept, pick, tidy
 from ._tokens import resolve
 
 MARK = "▁"
 #: Nodes at which a worker starts a new trie, some 200 bytes each.
-MAX_NODES = 600_000
+MAX_NODES = 400_000
+#: Characters of the longest pre-token that enters the trie.
+_LONGEST = 256
 
 
 def unigram_pieces(path: str) -> dict[str, float]:
@@ -93,31 +96,55 @@ class SharedTrie:
         """Tokens of a pre-token, from its terminal node."""
         n = self.words.get(word)
         if n is None:
+            text = MARK + word.decode("utf-8", "replace")
+            if len(text) > _LONGEST:
+                return self._alone(text)
+            if len(self.char) > MAX_NODES:
+                self.clear()
             node, child = 0, self.child
-            for c in MARK + word.decode("utf-8", "replace"):
+            for c in text:
                 after = child[node].get(c)
                 node = self._grow(node, c) if after is None else after
             n = self.words[word] = self.tokens[node]
         return n
 
-
-_tries: dict[str, SharedTrie] = {}
+    def _alone(self, text: str) -> int:
+        """Tokens of a long pre-token, without nodes; of the scores before a position, only those that a piece can reach stay."""
+        score, tokens, first = [0.0], [0], 0
+        for i, c in enumerate(text):
+            best, count = score[-1] + self.unknown, tokens[-1] + len(c.encode("utf-8", "replace"))
+            at, before = self.ends.get(c), i
+            while at is not None:
+                own = at.get("")
+                if own is not None:
+                    s, n = score[before - first] + own, tokens[before - first] + 1
+                    if s > best or s == best and n < count:
+                        best, count = s, n
+                before -= 1
+                if before < 0:
+                    break
+                at = at.get(text[before])
+            score.append(best)
+            tokens.append(count)
+            if len(score) > 2 * self.longest + 1024:
+                gone = len(score) - self.longest - 1
+                del score[:gone], tokens[:gone]
+                first += gone
+        return tokens[-1]
 
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = "public:piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _tries:
-            _tries[vocabulary] = SharedTrie(unigram_pieces(resolve(vocabulary)))
-        trie = _tries[vocabulary]
+        trie = kept(("trie", vocabulary), lambda: SharedTrie(unigram_pieces(resolve(vocabulary))))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 words, tokens = [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     own = (text or b"").split()
-                    known, missing = trie.words, None
+                    known, missing = trie.words, False
                     try:
                         n = sum(map(known.__getitem__, own))
                     except KeyError:
@@ -126,9 +153,7 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = "public:piece_bpe_32k.mod
                         n = sum(map(trie.count, own))
                     words.append(len(own))
                     tokens.append(n)
-                    if len(trie.char) > MAX_NODES:
-                        trie.clear()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")

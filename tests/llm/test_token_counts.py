@@ -73,3 +73,21 @@ def test_odd_rows(odd, clashing, none):
     assert len(got) == odd.count() and {r[1:] for r in got if r[0] in (-5, -2, 1, 4)} == {(0, 0)}
     assert rows(token_counts.count_tokens(clashing)) == got
     assert token_counts.count_tokens(none).count() == 0
+
+
+def test_a_long_word_is_brute_force_without_nodes(monkeypatch):
+    trie = token_counts.SharedTrie(PIECES)
+    word = "ababécxab" * 400
+    assert trie.count(word.encode()) == brute(PIECES, word) and len(trie.char) == 1
+    monkeypatch.setattr(token_counts, "_LONGEST", 1)
+    short = token_counts.SharedTrie(PIECES)
+    for w in ("a", "ab", "babab", "xcé", "abac" * 30):
+        assert short.count(w.encode()) == brute(PIECES, w)
+
+
+def test_a_text_of_many_words_stays_within_the_nodes(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_NODES", 500)
+    trie = token_counts.SharedTrie(PIECES)
+    for i in range(3000):
+        trie.count(f"{i}ab".encode())
+        assert len(trie.char) <= 500 + token_counts._LONGEST

@@ -16,8 +16,8 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 def plain(name):
+    """The library as it is loaded."""
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -27,12 +27,32 @@ def both(request):
 
 
 @settings(max_examples=400, deadline=None)
-@given(text=st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" \t\n\r\x0b\x0c  \x1c\x85'sdlmtve.,#019aZéΣσςß<|>"))), max_size=60))
+@given(text=st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", *" \t\n\r\x0b\x0c  \x1c\x85'sdlmtve.,#019aZéΣσςß<|>"])), max_size=60).map("".join))
 def test_remembered_pieces_encode_alike(both, text):
     want, enc = both
     assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == want(text)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings(name):
+    """They are tokens as the library has it; as ordinary text if asked for."""
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    text = "a <|endoftext|> b<|endoftext|>"
+    for as_text in (False, True):
+        t.encode_special_tokens = as_text
+        enc = _tokens.TextEncoder(public_tokenizers.path(name), as_text)
+        assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(np.frombuffer(_tokens.TextEncoder(public_tokenizers.path(name)).encode([text.encode()])[0], "<u4")) == t.get_vocab_size() - 1
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(_tokens, "MEMORY", 20_000)
+    enc = _tokens.TextEncoder(public_tokenizers.path(FILES[1]))
+    for i in range(2000):
+        enc.encode([f"word{i} other{i}".encode(), b"x" * 5000])
+        assert sum(len(k) + len(v) + _tokens._ENTRY for k, v in enc.memory.items()) <= 20_000
+
+
 def test_whole_documents_encode_alike(both, docs):
     want, enc = both
     texts = [r["text"] or "" for r in docs.select("text").limit(60).collect()]
@@ -84,3 +104,13 @@ def test_files_are_flat_and_map(spark, docs, tmp_path):
     assert all(os.path.getsize(p) % 2 == 0 for p in (tmp_path / "flat").glob("tokens-*"))
     wide = token_files.write_tokens(docs, f"file://{tmp_path}/wide", width=32)
     assert rows(token_files.read_tokens(spark, wide)) == rows(token_files.read_tokens(spark, folder))
+
+
+def test_ranges_of_a_file(tmp_path, monkeypatch):
+    """What isn't mounted is read by ranges, to the same numbers."""
+    from pyarrow import fs
+
+    np.arange(50, dtype="<u2").tofile(tmp_path / "a.bin")
+    mapped, n = token_files._opened(fs.LocalFileSystem(), f"{tmp_path}/a.bin", "<u2")
+    read, m = token_files._opened(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "a.bin", "<u2")
+    assert n == m == 50 and mapped(3, 40).tolist() == read(3, 40).tolist() == list(range(3, 40))
