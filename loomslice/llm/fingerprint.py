@@ -32,21 +32,20 @@ def paragraphs(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "\n"), "")
 
 
-def _mix(base: Column, k: Column) -> Column:
-    """The k-th long of a paragraph's lanes."""
-    own = F.xxhash64(base, F.shiftright(k, 1))
+def _mix(item: Column, k: Column) -> Column:
+    """The k-th long of a paragraph's lanes, drawn from the paragraph itself: each pair of longs has a seed of its own."""
+    own = F.xxhash64(F.shiftright(k, 1), item)
     return F.when(k % 2 == 0, own).otherwise(F.shiftrightunsigned(own, 10)).bitwiseAND(_VALUES)
 
 
 def multiset_hash(items: Column) -> Column:
     """Array of strings to the fingerprint: LONGS longs and the count."""
-    base = F.transform(items, lambda p: F.xxhash64(p))
 
     def lanes(b: Column) -> Column:
         one = lambda k: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: (acc + _mix(x, k)).bitwiseAND(_LANES))
         return F.concat(F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), one), F.array(F.size(b).cast("long")))
 
-    return let(base, lanes)
+    return let(items, lanes)
 
 
 def fingerprint(text: Column) -> Column:

@@ -7,8 +7,9 @@ Thresholds nest: a larger budget takes all that a smaller one takes. A budget of
 takes all of it and a second copy below the threshold for the rest.
 
 A null text or one without words has size 0. A null source is a source of its own, after the others.
-Documents with the same doc_id and text share a hash and go together; so do those with a null doc_id and
-the same text. Empty tables and sources without words take nothing.
+Whole texts are read, however long. Documents with the same doc_id and text share a hash and go together;
+so do those with a null doc_id and the same text, and then a source's words may miss its target by theirs.
+Empty tables and sources without words take nothing.
 """
 
 from __future__ import annotations
@@ -89,7 +90,9 @@ def thresholds(sized: DataFrame, goals: DataFrame, sources: int) -> DataFrame:
 
 
 def doc_hash(doc_id: Column, text: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - _BITS * _LEVELS)
+    """The first _BITS * _LEVELS bits of the MD5 sum of seed, id and text, which other engines can compute too; null and empty texts are alike."""
+    said = F.concat_ws("\n", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.shiftright(F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("long"), 32 - _BITS * _LEVELS)
 
 
 def _plan(sized: DataFrame, **weights) -> tuple[DataFrame, int]:

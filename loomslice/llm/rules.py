@@ -6,7 +6,8 @@ over those counts estimates how often each rule votes rightly; a document is kep
 The statistics are computed within a row, so nothing is shuffled but the pattern counts.
 
 Words are runs of anything but ASCII white space. A null text has none and fails the base rules, like an
-empty one. Rows repeat if they are repeated, null ids are kept, an empty table gives no rows.
+empty one. Whole texts are read, however long. Rows repeat if they are repeated, null ids are kept, an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, pick, words_of
+from ._common import let, materialize, pick, words_of
 
 GOOD, BAD = 1, -1
 
@@ -158,10 +159,6 @@ def fit(patterns: list[tuple[dict[str, int], int]], *, rounds: int = 100, prior:
     return model
 
 
-def _stats(docs: DataFrame, text: str, name: str) -> DataFrame:
-    return docs.withColumn(name, statistics(F.col(text)))
-
-
 def learn(stats: DataFrame, name: str = "stats") -> VoteModel:
     """The model from a frame with a statistics column. At most 3 ** rules rows come to the driver."""
     v = votes(F.col(name))
@@ -175,8 +172,6 @@ def base_failed(s: Column) -> Column:
 
 def rule_report(docs: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the posterior, for every document."""
-    from ._common import materialize
-
     rows = pick(docs, doc_id=id_col, text=text_col)
     stats = materialize(rows.select("doc_id", statistics(F.col("text")).alias("stats")), "stats")
     model, s = learn(stats), F.col("stats")
@@ -188,9 +183,9 @@ def rule_report(docs: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_i
 
 
 def keep_good(docs: DataFrame, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows that the rules keep, with all their columns. Statistics are computed once to learn and once to filter."""
+    """The rows that the rules keep, with all their columns. Rows are written once with their statistics, to learn from and to filter."""
     n, at = len(docs.columns), f"c{docs.columns.index(text_col)}"
-    stats = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("stats", statistics(F.col(at)))
+    stats = materialize(docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("stats", statistics(F.col(at))), "stats")
     model = learn(stats)
     s = F.col("stats")
     kept = stats.where(~base_failed(s) & (model.column(votes(s)) >= threshold))

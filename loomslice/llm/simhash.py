@@ -20,6 +20,7 @@ then become components by star contraction, in written tables; nothing is collec
 Null and empty texts and ones without words have fingerprint zero, which links like any other. With fewer
 words than a shingle has, all words are one shingle. Rows with a null id get a fingerprint, and the
 component of the rows with ids that share it (else null). Repeated rows repeat. An empty table gives none.
+Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, materialize, pick
+from ._common import broadcast_if_small, materialize, pick, tidy
 
 #: Shingles whose bits are unpacked at a time.
 _CHUNK = 1 << 15
@@ -134,7 +135,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int, lanes: int, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[:, k]) for k in range(lanes)]], ["doc_id", *names])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _banded(rows: DataFrame, *, shingle_words: int, lanes: int) -> DataFrame:
@@ -153,7 +154,7 @@ def _banded(rows: DataFrame, *, shingle_words: int, lanes: int) -> DataFrame:
                 bits = np.array(bits, np.int64).reshape(-1, lanes)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, k]) for k in range(lanes)], pa.array(keys, pa.list_(pa.int64()))], ["row", *names, "keys"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    return rows.select("row", "text").mapInArrow(tidy(run), "row long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
 def distance(a: str, b: str, lanes: int) -> Column:
@@ -200,16 +201,6 @@ class _Forest:
         self.top[max(x, y)] = min(x, y)
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges enough to connect what pairs connect."""
-    joined, out = _Forest(), []
-    for a, b in pairs.tolist():
-        if joined.root(a) != joined.root(b):
-            joined.join(a, b)
-            out.append((min(a, b), max(a, b)))
-    return out
-
-
 def _shingle_sets(rows: DataFrame, wanted: DataFrame, shingle_words: int, lanes: int) -> DataFrame:
     """rep, the fingerprint's lanes, and the distinct shingles' hashes in ascending order, for the rows wanted."""
     names = [f"l{k}" for k in range(lanes)]
@@ -222,7 +213,7 @@ def _shingle_sets(rows: DataFrame, wanted: DataFrame, shingle_words: int, lanes:
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in ["rep", *names]], pa.array(grams, pa.binary())], ["rep", *names, "grams"])
 
     texts = rows.select(F.col("row").alias("rep"), "text").join(wanted.select("rep", *names), "rep").select("rep", *names, "text")
-    return materialize(texts.mapInArrow(run, "rep long, " + ", ".join(f"{n} long" for n in names) + ", grams binary"), "sets")
+    return materialize(texts.mapInArrow(tidy(run), "rep long, " + ", ".join(f"{n} long" for n in names) + ", grams binary"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, lanes: int, max_distance: int) -> DataFrame:
@@ -237,7 +228,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, lanes: int, max_distance: int)
     bits = F.struct(*[f"l{k}" for k in range(lanes)])
     found = pairs.join(sets.select(F.col("rep").alias("a"), bits.alias("x"), F.col("grams").alias("ga")), "a")
     found = found.join(sets.select(F.col("rep").alias("b"), bits.alias("y"), F.col("grams").alias("gb")), "b")
-    return found.where(distance("x", "y", lanes) <= max_distance).select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return found.where(distance("x", "y", lanes) <= max_distance).select("a", "b", "ga", "gb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _tiled(both: DataFrame, sets: DataFrame, lanes: int, max_distance: int) -> DataFrame:
@@ -289,66 +280,22 @@ def similar_links(rows: DataFrame, reps: DataFrame, keys: Column, *, shingle_wor
     return materialize(near.unionByName(more).distinct(), "links")
 
 
-def _pivot_links(hot: DataFrame, reps: DataFrame, lanes: int, max_distance: int) -> DataFrame:
-    """Links within large blocks of wide fingerprints."""
-    cols = [f"l{k}" for k in range(lanes)]
-    hot = materialize(hot.select("kid", "key", "rep").join(reps, "rep"), "hot")
-    pivots = hot.groupBy("kid", "key").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
-    pivots = materialize(pivots.join(reps, "rep").withColumnRenamed("rep", "pivot"), "pivots")
-    seen = hot.alias("a").join(pivots.alias("b"), (F.col("a.kid") == F.col("b.kid")) & (F.col("a.key") == F.col("b.key")))
-    seen = materialize(seen.select("a.*", "pivot", "n", (distance("a", "b", lanes) <= max_distance).alias("near")), "seen")
-    near = seen.where("near and rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    odd = materialize(seen.where("not near").groupBy("kid", "key").agg(F.count("*").alias("odd")), "odd")
-    both = seen.join(odd, ["kid", "key"])
-    tiles = lambda n: F.ceil(F.col(n) / _TILE).cast("int")
-    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), tiles(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
-    left = both.where("not near").select("kid", "key", "rep", *cols, F.lit(True).alias("odd_side"), own("odd", 1).alias("i"), every("n").alias("j"))
-    right = both.select("kid", "key", "rep", *cols, F.lit(False).alias("odd_side"), every("odd").alias("i"), own("n", 2).alias("j"))
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        side = g["odd_side"].to_numpy(bool)
-        bits, ids = g[cols].to_numpy(np.int64), g["rep"].to_numpy(np.int64)
-        x, y, xi, yi = bits[side], bits[~side], ids[side], ids[~side]
-        found = []
-        for k in range(len(x)):
-            d = np.bitwise_count((y ^ x[k]).view(np.uint64)).sum(1)
-            hit = yi[(d <= max_distance) & (yi != xi[k])]
-            if len(hit):
-                found.append(np.stack([np.full(len(hit), xi[k]), hit], 1))
-        edges = _forest(np.concatenate(found)) if found else []
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    tiled = left.unionByName(right).groupBy("kid", "key", "i", "j").applyInPandas(compare, "a long, b long")
-    return near.unionByName(tiled).distinct()
-
-
-def links(reps: DataFrame, keys: Column, lanes: int, max_distance: int) -> DataFrame:
-    """(a, b) with a < b: enough links between representatives to connect all that are close and share a block."""
-    sieve = min(lanes, 2)
-    few = [f"l{k}" for k in range(sieve)]
-    rows = reps.select("rep", *few, F.inline(keys))
-    crowded = materialize(rows.groupBy("kid", "key").agg(F.count("*").alias("n")).where(F.col("n") > _JOINED).drop("n"), "crowded")
-    n = crowded.count()
-    small = broadcast_if_small(crowded, n)
-    calm = rows.join(small, ["kid", "key"], "left_anti") if n else rows
-    # two lanes of a wide fingerprint sort out nearly all pairs before all lanes are fetched
-    limit = max_distance if lanes == sieve else int(64 * sieve * (max_distance / (64 * lanes) + 0.11))
+def links(reps: DataFrame, keys: Column, max_distance: int) -> DataFrame:
+    """(a, b) with a < b: enough links between representatives (rep, l0) to connect all that are close and share a block."""
+    if max_distance < 2:
+        raise ValueError("a maximum distance under 2 isn't provided for")
+    rows = reps.select("rep", "l0", F.inline(keys))
+    crowded = materialize(rows.groupBy("kid", "key").agg(F.count("*").alias("n")).where(F.col("n") > _JOINED).drop("n"), "crowded") if max_distance == 2 else None
+    n = crowded.count() if crowded is not None else 0
+    calm = rows
+    if n:
+        small = broadcast_if_small(crowded, n)
+        calm = rows.join(small, ["kid", "key"], "left_anti")
     on = (F.col("a.kid") == F.col("b.kid")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))
-    pairs = calm.alias("a").join(calm.alias("b"), on & (distance("a", "b", sieve) <= limit)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    if lanes > sieve:
-        pairs = pairs.join(reps.select(F.col("rep").alias("a"), F.struct(*[f"l{k}" for k in range(lanes)]).alias("x")), "a")
-        pairs = pairs.join(reps.select(F.col("rep").alias("b"), F.struct(*[f"l{k}" for k in range(lanes)]).alias("y")), "b")
-        pairs = pairs.where(distance("x", "y", lanes) <= max_distance).select("a", "b")
+    pairs = calm.alias("a").join(calm.alias("b"), on & (distance("a", "b", 1) <= max_distance)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     if n:
         hot = rows.join(small, ["kid", "key"], "left_semi")
-        if lanes == 1 and max_distance <= 2:
-            more = _near_values(hot.select("rep", "l0").distinct())
-            if max_distance < 2:
-                raise ValueError("a maximum distance under 2 isn't provided for")
-        else:
-            more = _pivot_links(hot, reps, lanes, max_distance)
-        pairs = pairs.unionByName(more)
+        pairs = pairs.unionByName(_near_values(hot.select("rep", "l0").distinct()))
     return materialize(pairs, "links")
 
 
@@ -394,8 +341,6 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12,
     candidates may be apart to be compared exactly.
     """
     cols = [f"l{k}" for k in range(lanes)]
-    if max_distance is None:
-        max_distance = round(64 * lanes * (_SIEVE if lanes > 1 else 0.172))
     if lanes > 1:
         rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -403,9 +348,10 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12,
         found = materialize(found.join(rows.select("row", "doc_id"), "row"), "found")
         named = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         return found.join(named, "component").select("doc_id", *cols, "component_id")
+    max_distance = 2 if max_distance is None else max_distance
     prints = materialize(fingerprints(docs, shingle_words=shingle_words, lanes=lanes, id_col=id_col, text_col=text_col), "fingerprints")
     reps = materialize(prints.groupBy(*cols).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "representatives")
-    found = components(links(reps, exact_keys(max_distance), lanes, max_distance))
+    found = components(links(reps, exact_keys(max_distance), max_distance))
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = materialize(named.select(*cols, F.coalesce("component", "rep").alias("component_id")), "named")
     return prints.join(named, cols, "left").select("doc_id", *cols, "component_id")
@@ -421,10 +367,17 @@ def simhash_report(docs: DataFrame, *, shingle_words: int = 3, max_distance: int
     return out.select("doc_id", hex64(F.col("l0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the least of its component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    lost = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("lost")).distinct(), "lost")
+def keep_one(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12, max_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns, by the wide mode.
+
+    It is that with the least id; null ids come last, and of rows with equal ids the first one stays. Rows
+    are told apart by a number of their own, so a repeated id removes no text that has no like.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = F.col(names[docs.columns.index(id_col)]).cast("long")
-    return docs.toDF(*names).join(broadcast_if_small(lost), at == F.col("lost"), "left_anti").toDF(*docs.columns)
+    at, text = F.col(names[docs.columns.index(id_col)]).cast("long"), F.col(names[docs.columns.index(text_col)])
+    full = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = similar_rows(full.select("row", text.alias("text")), shingle_words=shingle_words, lanes=lanes, max_distance=max_distance)
+    found = materialize(found.select("row", "component").join(full.select("row", at.alias("doc_id")), "row"), "found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
+    lost = materialize(found.join(first, "component").where("row <> first").select(F.col("row").alias("lost")), "lost")
+    return full.join(broadcast_if_small(lost), full["row"] == F.col("lost"), "left_anti").select(*names).toDF(*docs.columns)

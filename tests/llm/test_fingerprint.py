@@ -1,5 +1,7 @@
 import hashlib
+import struct
 
+import xxhash
 from conftest_llm import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,3 +90,36 @@ def test_odd_rows(spark, odd, clashing, none):
     assert rows(fp.edit_report(clashing), *cols) == rows(out, *cols)
     alone = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")  # the first follows the last, here itself
     assert fp.edit_report(alone).first()["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def brute(text):
+    """LONGS longs of three lanes and the count, as the module's docstring has it."""
+    lines = [p for p in (text or "").split("\n") if p]
+    lanes = [0] * (3 * fp.LONGS)
+    for p in lines:
+        for k in range(fp.LONGS):
+            own = xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", k >> 1), 42)) >> (10 * (k % 2))
+            for j in range(3):
+                lanes[3 * k + j] = (lanes[3 * k + j] + (own >> 21 * j & 1023)) % (1 << 20)
+    return lanes, len(lines)
+
+
+def centred(lanes, n):
+    half = 1 << 20
+    return [(2 * x - 1023 * n + half) % (2 * half) - half for x in lanes]
+
+
+def test_report_is_brute_force(spark, sf, docs):
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = {r["doc_id"]: r for r in queries.op2_multiset_hash(spark, sf).collect()}
+    prints = [brute(t) for _, t in texts]
+    for (i, t), a, b, (_, after) in zip(texts, prints, prints[1:] + prints[:1], texts[1:] + texts[:1]):
+        cut = len(t) // 4
+        edited = brute(t[: len(t) - cut] + after[:cut])
+        for x, name in ((a, "fingerprint"), (edited, "edited_fingerprint")):
+            assert got[i][name] == "".join(f"{x[0][3 * k] | x[0][3 * k + 1] << 21 | x[0][3 * k + 2] << 42:016x}" for k in range(fp.LONGS)) + f"{x[1]:010x}"
+        for y, name in ((edited, "near_edited"), (b, "near_next")):
+            u, v = centred(*a), centred(*y)
+            own = sum(p * p + q * q for p, q in zip(u, v))
+            want = 1.0 if a == y else min(1.0, max(0.0, 2 * sum(p * q for p, q in zip(u, v)) / own)) if own else 0.0
+            assert abs(got[i][name] - want) < 1e-9

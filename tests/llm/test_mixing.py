@@ -92,3 +92,16 @@ def test_odd_rows(odd, clashing, none):
     assert rows(mixing.mix_report(clashing)) == rows(out)
     assert mixing.mix_report(none).count() == 0 and mixing.mix(none).count() == 0
     assert mixing.mix(clashing).columns == clashing.columns
+
+
+def test_null_texts_without_ansi(spark, odd):
+    """A null text has no words in either mode."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        got = []
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            got.append(rows(mixing.mix_report(odd)))
+        assert got[0] == got[1] and all(r["size"] >= 0 for r in mixing.mix_report(odd).collect())
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

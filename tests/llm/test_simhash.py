@@ -59,7 +59,7 @@ def test_close_prints_link_in_crowded_and_calm_blocks(spark, monkeypatch, joined
     comps = brute_components(prints, 2)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     reps = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "rep long, l0 long")
-    found = simhash.components(simhash.links(reps, simhash.exact_keys(2), 1, 2))
+    found = simhash.components(simhash.links(reps, simhash.exact_keys(2), 2))
     named = {r["node"]: r["component"] for r in found.collect()}
     assert {i: named.get(i, i) for i in prints} == comps
 
@@ -136,7 +136,7 @@ def test_crowded_wide_blocks(spark, monkeypatch):
 
 def test_keep_one_keeps_columns_and_null_ids(odd, clashing, none):
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
+    assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1  # the other one's text is empty, as others' are
     assert simhash.keep_one(none).count() == 0
     wide = simhash.keep_one(clashing)
     assert wide.columns == clashing.columns and wide.count() == kept.count()
@@ -173,3 +173,11 @@ def test_pairs_at_the_limit_are_found_and_ones_below_are_not(spark):
     assert jaccard(data[0][1], data[1][1]) == 0.8 > jaccard(data[400][1], data[401][1])
     comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert comp == {i: i - i % 2 if i < 400 else i for i in comp}
+
+
+def test_keep_one_keeps_texts_of_their_own(spark):
+    """Rows that share an id are told apart; rows without one are deduplicated after the others."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, "zz " + b[:30]), (None, "zz " + b[:30])]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (-1, "zz " + b[:30])])

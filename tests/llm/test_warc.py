@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import html.parser
 import json
 import re
+import time
 
 from conftest_llm import rows
 from pyspark.sql import functions as F
@@ -81,3 +83,62 @@ def test_odd_pages(spark):
     assert warc.derivatives(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(None, None, None), (1, None, "<p>x"), (1, None, "<p>x")], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses_of_pages(pages)).count() == 6
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    for unit in ("<a ", "<script>", "<!-- ", "<a href='", "</script ", "<title>", "<p <p", "<html lang=", "&amp<", "<head>"):
+        page = unit * (1_000_000 // len(unit))
+        warc.plain_text(page)
+        warc.describe(page, {})
+    assert time.process_time() - began < 30  # a second or so each, with room for a slow machine
+
+
+def test_values_cannot_add_header_lines(spark):
+    src = ("<urn:uuid:1>", "http://x/\r\nInjected: yes", "2020", "{}", None, "x")
+    for r in warc.derivatives(spark.createDataFrame([src], SCHEMA)).collect():
+        assert not any(line.startswith("Injected") for line in r["headers"].split("\r\n"))
+
+
+def test_responses_without_an_id_have_records_of_their_own(spark):
+    data = [(None, "u1", "d", "{}", None, "x"), (None, "u2", "d", "{}", None, "x"), (None, "u1", "d", "{}", None, "y")]
+    out = warc.derivatives(spark.createDataFrame(data, SCHEMA))
+    assert out.select("record_id").distinct().count() == 6 and out.where("headers like '%WARC-Refers-To:%'").count() == 0
+
+
+class Reader(html.parser.HTMLParser):
+    """Text and links of a page by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.hidden = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in warc._HIDDEN
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+        self.out.append("\n" if tag in warc._BLOCKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc._HIDDEN
+        self.out.append("\n" if tag in warc._BLOCKS else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_text_and_links_are_brute_force(spark, sf):
+    """On all pages of the table whose tags are balanced where it matters."""
+    pages = [r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    seen = 0
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        if reader.hidden:
+            continue
+        seen += 1
+        lines = ["".join(re.split(r"\s", x)) for x in "".join(reader.out).split("\n")]
+        assert ["".join(re.split(r"\s", x)) for x in warc.plain_text(page).split("\n") if x] == [x for x in lines if x]
+        assert warc.describe(page, {})["outlinks"] == reader.links
+    assert seen > 0.9 * len(pages)
