@@ -13,6 +13,7 @@ going to the forward direction and then the reference's id, which gives smaller
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from loomslice.plans.graph import Direction, Root, SchemaError, SchemaGraph
 from loomslice.storage import written
 
 State = tuple[str, tuple[str, Direction] | None]
+#: Rounds whose findings stay tables of their own before they are written as one.
+_ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -77,7 +80,8 @@ def topological(steps: list[Step], roots: list[Root]) -> list[State] | None:
 
 class Slicer:
     """tables: a DataFrame by table id. keys: columns that tell a table's rows apart; by default the row id of
-    ``operators.rows.scan``, or else all columns."""
+    ``operators.rows.scan``. Without either, rows are known by all their columns, which must be comparable then
+    (no maps); repeated rows are reached together and all stay."""
 
     def __init__(self, graph: SchemaGraph, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None):
         self.graph, self.tables = graph, tables
@@ -89,8 +93,7 @@ class Slicer:
         """Roots of a table are one scan with alternatives."""
         by: dict[str, list[str]] = defaultdict(list)
         for r in roots:
-            text = r.condition.strip()
-            by[r.table].append(text[5:].strip() if text[:5].upper() == "WHERE" and not text[5:6].isalnum() else text)
+            by[r.table].append(re.sub(r"\s*where(?=[\s(])", "", r.condition, count=1, flags=re.I) if re.match(r"\s*where[\s(]", r.condition, re.I) else r.condition)
         return {(t, None): self.tables[t].where(" OR ".join(f"({c})" for c in cs)) for t, cs in by.items()}
 
     def _step(self, step: Step, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -105,7 +108,16 @@ class Slicer:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return df.dropDuplicates(self.keys[table])
+        if self.keys[table] != self.tables[table].columns:
+            return df.dropDuplicates(self.keys[table])
+        # rows have no identity: equal ones are reached together, and stay as many as they are
+        return self._own(table, df.dropDuplicates())
+
+    def _own(self, table: str, ids: DataFrame) -> DataFrame:
+        """The table's rows whose keys are among ids."""
+        own, keys = self.tables[table], self.keys[table]
+        ids = ids.select(*[F.col(f"`{c}`").alias(f"_s{i}") for i, c in enumerate(keys)])
+        return own.join(ids, [own[f"`{c}`"].eqNullSafe(ids[f"_s{i}"]) for i, c in enumerate(keys)], "left_semi")
 
     def run(self, roots: list[Root], *, arrival: str = "all", columns: bool = True) -> dict[str, DataFrame]:
         """The slice's rows by table; tables that can't be reached are left out.
@@ -159,7 +171,13 @@ class Slicer:
                 new = written(new, "round")
                 if not new.isEmpty():
                     fresh[state] = new
-                    seen[spot(state)].append(new)
+                    own = seen[spot(state)]
+                    own.append(new)
+                    if len(own) > _ROUNDS:  # else each round would plan a join with every one before it
+                        whole = own[0]
+                        for d in own[1:]:
+                            whole = whole.unionByName(d)
+                        own[:] = [written(whole, "seen")]
         by: dict[str, list[DataFrame]] = defaultdict(list)
         for at, dfs in seen.items():
             by[at if isinstance(at, str) else at[0]] += dfs
@@ -168,7 +186,5 @@ class Slicer:
             ids = dfs[0].select(*[f"`{c}`" for c in self.keys[t]])
             for d in dfs[1:]:
                 ids = ids.unionByName(d.select(*[f"`{c}`" for c in self.keys[t]]))
-            ids = ids.select(*[F.col(f"`{c}`").alias(f"_s{i}") for i, c in enumerate(self.keys[t])])
-            own = self.tables[t]
-            out[t] = own.join(ids, [own[f"`{c}`"].eqNullSafe(ids[f"_s{i}"]) for i, c in enumerate(self.keys[t])], "left_semi")
+            out[t] = self._own(t, ids)
         return out
