@@ -81,12 +81,18 @@ def _dump(a) -> None:
         found = {k: t.apply(k, df, df.columns) for k, df in found.items()}
     pre = [sqlscript.create_table(graph.tables[k].schema, graph.tables[k].name, df.schema) for k, df in found.items()] if a.include_schema else []
     post = sqlscript.add_references(graph) if a.include_schema else []
+    sequences = introspect.sequence_values(graph, tables)
     if a.output_type == "sql":
-        with open(a.output, "w", encoding="utf-8") as out:
-            sqlscript.write_script(graph, found, out, pre=pre, post=post)
+        if a.output == "-":
+            sqlscript.write_script(graph, found, sys.stdout, sequences=sequences, pre=pre, post=post)
+        else:
+            with open(a.output, "w", encoding="utf-8") as out:
+                sqlscript.write_script(graph, found, out, sequences=sequences, pre=pre, post=post)
+    elif a.output == "-":
+        raise SystemExit("a slice of files can't be written to the standard output; --output-type sql can")
     else:
         folder = a.output + ".d" if a.output_type == "zip" else a.output
-        archive.write_slice(graph, found, folder, pre=pre, post=post)
+        archive.write_slice(graph, found, folder, sequences=sequences, pre=pre, post=post)
         if a.output_type == "zip":
             archive.pack(folder, a.output)
 

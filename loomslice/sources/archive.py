@@ -33,7 +33,7 @@ def write_slice(graph: SchemaGraph, tables: dict[str, DataFrame], folder: str, *
         # a row per file comes back
         lines = spark.read.option("lineSep", "\n").text(own).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect()
         table = graph.tables[t]
-        manifest["tables"][t] = {"columns": df.columns, "name": table.name, "schema": table.schema, "segments": [{"rowCount": r["n"]} for r in lines], "files": [r["file"].rsplit("/", 1)[1] for r in lines]}
+        manifest["tables"][t] = {"columns": df.columns, "name": table.name, "schema": table.schema, "types": [f.dataType.simpleString() for f in df.schema], "segments": [{"rowCount": r["n"]} for r in lines], "files": [r["file"].rsplit("/", 1)[1] for r in lines]}
     texts = {f"{s}.txt": str(v) for s, v in (sequences or {}).items()}
     for s in sequences or {}:
         manifest["sequences"][s] = {"name": graph.sequences[s].name, "schema": graph.sequences[s].schema}
