@@ -52,8 +52,8 @@ def city(c: Column, key: str, cities: tuple = LISTS["city"]) -> Column:
     return _unless_empty(c, like_case(choose(cities, hash60(c, key)), c, title=False))
 
 
-def us_state(c: Column, key: str, *, abbr: bool = False) -> Column:
-    return _unless_empty(c, choose(LISTS["state_abbr" if abbr else "state"], hash60(F.upper(c), key)))
+def us_state(c: Column, key: str, *, abbr: bool = False, values: tuple = ()) -> Column:
+    return _unless_empty(c, choose(values or LISTS["state_abbr" if abbr else "state"], hash60(F.upper(c), key)))
 
 
 def given_name(c: Column, key: str, names: tuple = LISTS["given_name"]) -> Column:
@@ -106,7 +106,7 @@ def words(c: Column, key: str, values: tuple = LISTS["word"]) -> Column:
 
 
 def const(c: Column, value) -> Column:
-    return F.when(c.isNotNull(), F.lit(value).cast("string"))
+    return F.when(c.isNotNull(), F.lit(str(value)))
 
 
 def null(c: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomslice.operators.numbering import running_count
 
-from . import compat, jsonpath, native
+from . import compat, jsonpath, lexicon, native
 
 
 class TransformError(ValueError):
@@ -32,6 +32,8 @@ _SIMPLE = {
     "AddressLine1Transform": "address_line1", "AddressLine2Transform": "address_line2", "CityTransform": "city", "GeozipTransform": "geozip", "GivenNameTransform": "given_name",
     "SurnameTransform": "surname", "WordTransform": "words", "DateYearTransform": "date_year",
 }
+#: Classes that draw from a list, which ``{"file": path}`` replaces.
+_LISTED = ("AddressLine1Transform", "CityTransform", "GeozipTransform", "GivenNameTransform", "SurnameTransform", "WordTransform", "UsStateTransform")
 _OTHERS = ("UsStateTransform", "AlphanumericTransform", "ConstTransform", "ReplaceTransform", "IncrementingConstTransform", "NullTransform", "JsonPathTransform", "ComposeTransform")
 CLASSES = (*_SIMPLE, *_OTHERS)
 
@@ -89,6 +91,23 @@ class Transforms:
         for other in self._linked(self.instances[name]):
             self.check(other, (*above, name))
 
+    @staticmethod
+    def _values(i: Instance) -> tuple[tuple[str, ...], ...]:
+        """The list of a configured file, as an argument, if there is one: ``{"file": path}``, a value per line, read by the driver."""
+        if not isinstance(i.config, dict) or "file" not in i.config:
+            return ()
+        if i.kind not in _LISTED:
+            raise TransformError(f"transform {i.name!r}: {i.kind} draws from no list")
+        values = lexicon.load(i.config["file"])
+        if not values:
+            raise TransformError(f"transform {i.name!r}: its file has no values")
+        return (values,)
+
+    def numbers_rows(self, name: str) -> bool:
+        """Whether the transform, or one that it is made of, counts rows."""
+        i = self.instances[name]
+        return not i.module and (i.kind == "IncrementingConstTransform" or any(map(self.numbers_rows, self._linked(i))))
+
     def _plug_in(self, i: Instance):
         found = getattr(importlib.import_module(i.module), i.kind, None)
         if found is None:
@@ -103,10 +122,11 @@ class Transforms:
             own = self._plug_in(i)
             return lambda x: own.value(x, key, c)
         if i.kind in _SIMPLE:
-            f = getattr(compat, _SIMPLE[i.kind])
-            return lambda x: f(x, key)
+            f, values = getattr(compat, _SIMPLE[i.kind]), self._values(i)
+            return lambda x: f(x, key, *values)
         if i.kind == "UsStateTransform":
-            return lambda x: compat.us_state(x, key, bool((c or {}).get("abbr")))
+            abbr, values = bool((c or {}).get("abbr")), self._values(i)
+            return lambda x: compat.us_state(x, key, abbr, *values)
         if i.kind == "AlphanumericTransform":
             f = compat.alphanumeric_unique if (c or {}).get("unique") else compat.alphanumeric
             own_key = self.pepper.encode() + name.encode()
@@ -149,9 +169,9 @@ class Transforms:
         if self.mode == "compat" or i.kind == "JsonPathTransform" or i.kind == "AlphanumericTransform" and (c or {}).get("unique"):
             return self._udf(name)(col)
         if i.kind in _SIMPLE:
-            return getattr(native, _SIMPLE[i.kind])(col, key)
+            return getattr(native, _SIMPLE[i.kind])(col, key, *self._values(i))
         if i.kind == "UsStateTransform":
-            return native.us_state(col, key, abbr=bool((c or {}).get("abbr")))
+            return native.us_state(col, key, abbr=bool((c or {}).get("abbr")), values=next(iter(self._values(i)), ()))
         if i.kind == "AlphanumericTransform":
             return native.alphanumeric(col, key)
         if i.kind == "ConstTransform":

@@ -178,6 +178,58 @@ def test_native_and_compat_keep_nulls(spark):
         assert out[:2] == [None, ""] and out[2].isupper() and out[3].islower()
 
 
+def test_state_golden():
+    assert Transforms.load({"transforms": {"": {"class": "UsStateTransform"}}}, pepper="abc").field("", "New York") == "Tennessee"
+
+
+def test_lists_from_files(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("Ada\n\nBo\n")
+    for mode in ("native", "compat"):
+        t = Transforms.load({"transforms": {"n": {"class": "GivenNameTransform", "config": {"file": str(tmp_path / "names.txt")}}}, "tables": {"t": {"columns": {"x": "n"}}}}, pepper="abc", mode=mode)
+        got = {r[0] for r in t.apply("t", spark.createDataFrame([(f"Name{i}",) for i in range(40)], "x string")).collect()}
+        assert {x.title() for x in got} == {"Ada", "Bo"}
+    with pytest.raises(TransformError):
+        Transforms.load({"transforms": {"n": {"class": "DateYearTransform", "config": {"file": "x"}}}}, pepper="").field("n", "2020-01-01")
+
+
+def test_root_condition_and_columns_named_like_where(spark):
+    g = SchemaGraph({"t": Table("t", "t", ("where_flag",))})
+    df = spark.createDataFrame([(1,), (2,)], "where_flag int")
+    for text in ("where_flag = 1", "WHERE where_flag = 1", " where(where_flag = 1)"):
+        assert [r[0] for r in Slicer(g, {"t": df}).run([Root("t", text)])["t"].collect()] == [1]
+
+
+def test_repeated_rows_stay_on_all_routes(spark):
+    g = SchemaGraph({"a": Table("a", "a", ("id",)), "b": Table("b", "b", ("id",)), "c": Table("c", "c", ("x", "y"))}, {"ca": Reference("ca", "c", ("x",), "a", ("id",)), "cb": Reference("cb", "c", ("y",), "b", ("id",))})
+    one = spark.createDataFrame([(1,)], "id int")
+    c = spark.createDataFrame([(1, 1), (1, 1), (2, None)], "x int, y int")
+    for roots in ([Root("a", "true")], [Root("a", "true"), Root("b", "true")]):
+        assert Slicer(g, {"a": one, "b": one, "c": c}).run(roots)["c"].count() == 2
+
+
+def test_pg_schema_and_sequences(spark):
+    columns = spark.createDataFrame([("public", "child", "parent_id", 2), ("public", "child", "id", 1), ("public", "parent", "id", 1), ("public", "empty", None, None)], "schema string, name string, column string, position int")
+    refs = spark.createDataFrame([("fk", "public", "child", "public", "parent", False, ["parent_id"], ["id"])], "conname string, from_schema string, from_table string, to_schema string, to_table string, condeferrable boolean, from_columns array<string>, to_columns array<string>")
+    seqs = spark.createDataFrame([("public", "child_id_seq", "public", "child"), ("public", "free", None, None)], "schema string, name string, owner_schema string, owner_table string")
+    g = introspect.pg_schema(refs, columns, seqs)
+    assert g.tables["public.child"].columns == ("id", "parent_id") and g.tables["public.empty"].columns == ()
+    assert set(g.references) == {"public.child.fk"} and g.tables["public.child"].sequences == ("public.child_id_seq",) and set(g.sequences) == {"public.child_id_seq", "public.free"}
+    assert introspect.sequence_values(g, {"public.child": spark.createDataFrame([(7, 1), (9, 1)], "id int, parent_id int")}) == {"public.child_id_seq": 9}
+
+
+def test_restore_creates_tables(spark, tmp_path):
+    """From a slice with definitions in another dialect to tables that weren't there, and no row without its parent."""
+    g = SchemaGraph({"made_p": Table("made_p", "made_p", ("id",)), "made_c": Table("made_c", "made_c", ("id", "p"))}, {"r": Reference("r", "made_c", ("p",), "made_p", ("id",))})
+    p, c = spark.createDataFrame([(1,)], "id bigint"), spark.createDataFrame([(5, 1), (6, None)], "id int, p bigint")
+    pre = [sqlscript.create_table("public", k, df.schema) for k, df in (("made_p", p), ("made_c", c))]
+    archive.write_slice(g, {"made_p": p, "made_c": c}, f"file://{tmp_path}/s", pre=pre, post=sqlscript.add_references(g))
+    assert restore(spark, g, f"file://{tmp_path}/s", include_schema=True) == ["made_p", "made_c"]
+    assert spark.table("made_c").dtypes == [("id", "int"), ("p", "bigint")] and sorted(spark.table("made_c").collect()) == sorted(c.collect())
+    archive.write_slice(g, {"made_c": spark.createDataFrame([(7, 99)], "id int, p bigint")}, f"file://{tmp_path}/bad")
+    with pytest.raises(RestoreError):  # its parent is neither in the slice nor in the table
+        restore(spark, g, f"file://{tmp_path}/bad")
+
+
 def test_archive_restore(spark, tmp_path):
     g, data = family(), family_rows(spark)
     out = Slicer(g, data).run([Root("parent", "id = 1")])
