@@ -221,9 +221,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, lanes: int, max_distance: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist())
-            hit = pa.array([similar(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], ["a", "b"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                both = zip(part.column("ga"), part.column("gb"))  # views, not copies, of the sets
+                hit = pa.array([similar(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")) for x, y in both], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(hit), part.column("b").filter(hit)], ["a", "b"])
 
     bits = F.struct(*[f"l{k}" for k in range(lanes)])
     found = pairs.join(sets.select(F.col("rep").alias("a"), bits.alias("x"), F.col("grams").alias("ga")), "a")
