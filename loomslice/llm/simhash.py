@@ -39,8 +39,10 @@ from ._common import broadcast_if_small, materialize, pick, tidy
 
 #: Shingles whose bits are unpacked at a time.
 _CHUNK = 1 << 15
-#: Members of a block up to which it is joined.
+#: Members of a block up to which it is joined in exact mode.
 _JOINED = 128
+#: The same in wide mode, where pairs are rows with their shingles: at most some times the members.
+_PAIRED = 16
 #: Members compared at a time in a wide block.
 _TILE = 256
 _ODD = 0x9E3779B97F4A7C15
@@ -275,10 +277,10 @@ def similar_links(rows: DataFrame, reps: DataFrame, keys: Column, *, shingle_wor
     at = at.join(pivots, ["kid", "key"]).withColumn("odd", F.col("comp") != F.col("own"))
     odd = materialize(at.groupBy("kid", "key").agg(F.count_if("odd").alias("n_odd")).where("n_odd > 0"), "odd")
     both = materialize(at.join(odd, ["kid", "key"]).select("kid", "key", "rep", "n", "comp", "odd", "n_odd"), "both")
-    calm = both.where(F.col("n") <= _JOINED)
+    calm = both.where(F.col("n") <= _PAIRED)
     on = (F.col("a.kid") == F.col("b.kid")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
     pairs = calm.where("odd").alias("a").join(calm.alias("b"), on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
-    more = _verified(pairs, sets, lanes, max_distance).unionByName(_tiled(both.where(F.col("n") > _JOINED), sets, lanes, max_distance))
+    more = _verified(pairs, sets, lanes, max_distance).unionByName(_tiled(both.where(F.col("n") > _PAIRED), sets, lanes, max_distance))
     return materialize(near.unionByName(more).distinct(), "links")
 
 

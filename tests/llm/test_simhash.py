@@ -106,7 +106,7 @@ def test_wide_mode_finds_near_copies_and_keeps_one(spark):
 
 def test_crowded_wide_blocks(spark, monkeypatch):
     """With every block grouped, links come from pivots and tiles and are as good as all pairs."""
-    monkeypatch.setattr(simhash, "_JOINED", 1)
+    monkeypatch.setattr(simhash, "_PAIRED", 1)
     monkeypatch.setattr(simhash, "_TILE", 8)
     rng = random.Random(9)
     base = rng.choices([f"w{i}" for i in range(500)], k=300)
