@@ -108,8 +108,8 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), fill(capacity)
 
 
-#: Columns tried after each pricing, and exchanges after which the basis is inverted anew.
-_COLUMNS, _ANEW = 24, 128
+#: Columns tried after each pricing, exchanges after which the basis is inverted anew, and pricings without a gain that end the search.
+_COLUMNS, _ANEW, _IDLE = 24, 128, 100
 
 
 def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
@@ -135,7 +135,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, *, rounds: int = 5000)
     """(pattern as size -> times, number of sequences) so that each size is placed exactly as often as asked for.
 
     Each pricing gives several columns: the best pattern with each of the sizes that promise most. It ends when
-    none improves, or the duals prove that less than a quarter of a sequence can be gained.
+    none improves, what is left to gain is proved to be under a quarter of a sequence (by the duals, or as no fewer
+    sequences hold so many tokens), or exchanges have changed nothing for a while.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), int)
     if not len(sizes):
@@ -148,11 +149,15 @@ def cutting_stock(demand: dict[int, int], capacity: int, *, rounds: int = 5000)
     basis = np.diag((capacity // sizes).astype(float))
     inverse, since = _inverse(basis), 0
     x = _times(inverse, d)
+    bound, least, idle = float((sizes * d).sum()) / capacity, float("inf"), 0
     for _ in range(rounds):
         duals = inverse.sum(0)
         best, fill = knapsack(duals, cells, room)
         value = best[room]
-        if value <= 1 + 1e-7 or x.sum() * (1 - 1 / value) < 0.25:
+        bound = max(bound, x.sum() / value)
+        idle = idle + 1 if x.sum() > least - 1e-6 else 0
+        least = min(least, x.sum())
+        if value <= 1 + 1e-7 or x.sum() - bound < 0.25 or idle >= _IDLE:
             break
         promise = duals + best[room - cells]
         tried: set[tuple[int, ...]] = set()
