@@ -383,5 +383,6 @@ def keep_one(docs: DataFrame, *, shingle_words: int = 5, lanes: int = 12, max_di
     found = similar_rows(full.select("row", text.alias("text")), shingle_words=shingle_words, lanes=lanes, max_distance=max_distance)
     found = materialize(found.select("row", "component").join(full.select("row", at.alias("doc_id")), "row"), "found")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
-    lost = materialize(found.join(first, "component").where("row <> first").select(F.col("row").alias("lost")), "lost")
+    # by rows, which are unique: a component may hold a third of them
+    lost = materialize(found.select(F.col("row").alias("lost")).join(first.select(F.col("first").alias("lost")), "lost", "left_anti"), "lost")
     return full.join(broadcast_if_small(lost), full["row"] == F.col("lost"), "left_anti").select(*names).toDF(*docs.columns)
