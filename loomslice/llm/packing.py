@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, pick, tidy
-from ._tokens import encoder, resolve
+from ._tokens import encoder, resolve, together
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, local_rank long"
-_STEP = 128
 #: Lengths up to a bound are rounded up to multiples of a step. Many short pieces share a sequence, and with them their rounding.
 GRID = ((32, 2), (96, 4), (256, 8), (1 << 62, 16))
 
@@ -47,8 +46,7 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: i
         enc, end, part = encoder(resolve(tokenizer), specials_as_text), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
-            for i in range(0, batch.num_rows, _STEP):
-                some = batch.slice(i, _STEP)
+            for some in together(batch, 1):
                 rows = []
                 for doc, ids in zip(some.column(0).to_pylist(), enc.encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])):
                     ids += end

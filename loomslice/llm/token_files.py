@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_path, pick, plain_uri, tidy
-from ._tokens import encoder, resolve
+from ._tokens import encoder, resolve, together
 
 _SHARD = "part int, name string, docs long, tokens long"
-#: Documents handled at a time, so that a batch of long texts doesn't hold all its ids at once.
+#: Documents read at a time.
 _STEP = 128
 
 
@@ -67,8 +67,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, *, tokenizer: str =
             if out is None:
                 out = [fs.open_output_stream(f"{root}/{k}-{name}.bin") for k in ("tokens", "offsets", "ids")]
                 out[1].write(np.zeros(1, "<i8").tobytes())
-            for i in range(0, batch.num_rows, _STEP):
-                part = batch.slice(i, _STEP)
+            for part in together(batch, 1):
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 coded = [ids + end for ids in enc.encode(texts)]
                 counts = np.array([len(c) // 4 for c in coded], "<i8")

@@ -45,6 +45,26 @@ def test_special_strings(name):
     assert max(np.frombuffer(_tokens.TextEncoder(public_tokenizers.path(name)).encode([text.encode()])[0], "<u4")) == t.get_vocab_size() - 1
 
 
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from([" ", " ", "\n", ".", ",", "a", "B", "é", "É", "ß", "×", "'s", "7", "(", '"', "word", "\t", "œ"]), max_size=30).map("".join), max_size=6))
+def test_texts_encode_together_alike(both, texts):
+    """Simple texts are cut as one array; borders, runs of white space and marks around words don't change ids."""
+    want, enc = both
+    for text, ids in zip(texts, enc.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == want(text)
+
+
+def test_slices_have_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(_tokens, "_TOGETHER", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 4, None, "", "b" * 40, "c" * 6, "é" * 3, "d"]})
+    slices = list(_tokens.together(batch, 0))
+    assert [t for s in slices for t in s.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert [s.num_rows for s in slices] == [3, 1, 1, 2]
+    assert list(_tokens.together(batch.slice(0, 0), 0)) == []
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(_tokens, "MEMORY", 20_000)
     enc = _tokens.TextEncoder(public_tokenizers.path(FILES[1]))
